@@ -18,7 +18,6 @@ packed like others; an empty table gives an empty result; input columns other th
 
 from __future__ import annotations
 
-import base64
 import json
 import zlib
 from bisect import bisect_right
@@ -163,17 +162,19 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
 
 
 class Words(dict):
-    """Ids (32-bit little-endian bytes) of a word with the space before it.  Bounded; grown in each worker process."""
+    """Ids (32-bit little-endian bytes) of a word with what stands before it.  Bounded; grown in each worker process."""
 
-    LIMIT = 800_000
+    LIMIT = 600_000
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, before: str):
+        self.encode, self.before = encode, before
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        out = self[word] = np.array(self.encode(" " + word), "<u4").tobytes()
+        out = np.array(self.encode(self.before + word), "<u4").tobytes()
+        if len(word) < 64:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -184,7 +185,7 @@ def encoder(path: str):
     """text -> ids as little-endian 32-bit bytes, for a byte-level BPE tokenizers file.
 
     The whole library runs on texts that hold a special token or two white-space characters in a row.  Elsewhere a
-    single space always begins a pre-token, so the ids of a text are those of its words in turn; each word is encoded
+    pre-token always begins at a space and at a line's end and start, so the ids of a text are those of its words in turn; each word is encoded
     once, by the same vocabulary and merges.
     """
     if path not in _encoders:
@@ -202,14 +203,21 @@ def encoder(path: str):
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
         ranks = {bytes(byte[c] for c in t): i for t, i in told["model"]["vocab"].items() if t not in specials}
-        words = Words(tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
+        encode = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        words, starts = Words(encode, " "), Words(encode, "")
+        newline = starts["\n"]
         odd = re.compile("|".join([r"\s\s", "[\x1c-\x1f\x85]", *map(re.escape, specials)]))
 
         def ids(text: str) -> bytes:
             if odd.search(text):
                 return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            first, *rest = text.split(" ")
-            return np.array(words.encode(first), "<u4").tobytes() + b"".join(map(words.__getitem__, rest))
+            out = []
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                out.append(starts[first])
+                out += map(words.__getitem__, rest)
+                out.append(newline)
+            return b"".join(out[:-1])
 
         _encoders[path] = (ids,)
     return _encoders[path][0]
