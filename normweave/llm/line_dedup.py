@@ -105,7 +105,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all_lines, gone = _lines(text_col), F.col("__ld_gone")
     stays = lambda x: ~((F.char_length(F.btrim(x, F.lit(WHITE))) >= min_chars) & F.array_contains(gone, digest16(_key(x))))
     kept = F.when(gone.isNull(), all_lines).otherwise(F.filter(all_lines, stays))
-    out = docs.drop("line_dedup").join(doomed, ident.cast("long").eqNullSafe(F.col("__ld_id")), "left")
+    # a merge join at every size: the table of digests to drop grows with the input
+    out = docs.drop("line_dedup").join(doomed.hint("merge"), ident.cast("long").eqNullSafe(F.col("__ld_id")), "left")
     out = out.withColumn("__ld_kept", kept)
     return out.withColumn(
         "line_dedup",
