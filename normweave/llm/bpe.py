@@ -1,8 +1,8 @@
 """Byte-level BPE: encoding and decoding.
 
-``merge`` is the encoder of one pre-token.  Pairs wait in a queue of merge ranks: a hierarchical bitmap (64 ranks to a word,
-64 words to a word above, 64 of those to the root and so on) says which ranks have entries, find-first-set walks down it to
-the least rank, and that rank's bucket holds the linked-list positions of its pairs.  A merge unlinks one node and queues
+``merge`` is the encoder of one pre-token.  Pairs wait in a queue of merge ranks: a bitmap of two levels (256 ranks to a
+word, one bit of the root for each word) says which ranks have entries, find-first-set walks down it to the least
+rank, and that rank's bucket holds the linked-list positions of its pairs.  A merge unlinks one node and queues
 at most two new pairs; entries whose pair has changed meanwhile are stale and skipped.  A pre-token of n bytes takes O(n)
 queue steps of a fixed number of word operations (a bucket keeps its positions in a heap, for the leftmost first), where a
 scan for each merge would take O(n^2): it suits very long pre-tokens.
@@ -30,87 +30,58 @@ from pyspark.sql import functions as F
 from .common import read, text_or_empty
 
 
-class RankQueue:
-    """Ranks with entries, as bitmaps of 64-bit words, each level a summary of the one below."""
-
-    def __init__(self, ranks: int):
-        self.levels: list[list[int]] = []
-        n = ranks
-        while True:
-            n = (n + 63) >> 6
-            self.levels.append([0] * n)
-            if n == 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        for level in self.levels:
-            word = rank >> 6
-            had = level[word]
-            level[word] = had | 1 << (rank & 63)
-            if had:
-                return
-            rank = word
-
-    def pop(self) -> tuple[int, int] | None:
-        """The least rank and its leftmost position."""
-        if not self.levels[-1][0]:
-            return None
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            at = at << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[at]
-        place = heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            rank = at
-            for level in self.levels:
-                word = rank >> 6
-                level[word] &= ~(1 << (rank & 63))
-                if level[word]:
-                    break
-                rank = word
-        return at, place
-
-
 class Codec:
     """A rank file and the pattern that splits texts.  Caches are bounded."""
 
-    LIMIT = 500_000
+    #: Words in each of two generations: when the young one is full it replaces the old one, so frequent words stay.
+    LIMIT = 450_000
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes = {r: b for b, r in self.ranks.items()}
         self.size = max(self.bytes) + 1
-        self.queue = RankQueue(self.size)  # empty between calls
+        self.bitmap = [0] * ((self.size >> 8) + 1)  # all 0 between calls
         self.pattern = regex.compile(pattern)
         self.odd = re.compile(r"\s\s|[\x1c-\x1f\x85]")
         self.words: dict[str, tuple[str, bytes]] = {}
+        self.old: dict[str, tuple[str, bytes]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token.  The queue is written out in line: it is the hot path."""
         ranks = self.ranks
         if (whole := ranks.get(piece)) is not None:
             return [whole]
-        n, queue = len(piece), self.queue
-        after = list(range(1, n + 1))  # the node that follows; a node is the place where it starts
+        get, n = ranks.get, len(piece)
+        after = list(range(1, n + 2))  # the node that follows; a node is the place where it starts
         before = list(range(-1, n))
         pair = [-1] * (n + 1)  # the rank under which a node and its follower wait
-        push, get = queue.push, ranks.get
+        buckets: dict[int, list[int]] = {}
+        words, top = self.bitmap, 0  # bit r & 255 of words[r >> 8]: rank r waits; bit w of top: words[w] is not 0
         for i in range(n - 1):
             r = get(piece[i : i + 2])
             if r is not None:
                 pair[i] = r
-                push(r, i)
-        while (got := queue.pop()) is not None:
-            rank, i = got
+                if r in buckets:
+                    buckets[r].append(i)  # places rise, so the bucket is a heap
+                else:
+                    buckets[r] = [i]
+                    words[r >> 8] |= 1 << (r & 255)
+                    top |= 1 << (r >> 8)
+        while top:
+            w = (top & -top).bit_length() - 1  # find first set, on both levels
+            word = words[w]
+            low = word & -word
+            rank = (w << 8) + low.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) == 1:
+                i = bucket[0]
+                del buckets[rank]
+                words[w] = word = word ^ low
+                if not word:
+                    top ^= 1 << w
+            else:
+                i = heappop(bucket)
             if pair[i] != rank:
                 continue  # stale
             j = after[i]
@@ -118,19 +89,19 @@ class Codec:
             after[i] = k
             before[k] = i
             pair[i] = pair[j] = -1
-            if k < n:
-                r = get(piece[i : after[k]])
-                if r is not None:
-                    pair[i] = r
-                    push(r, i)
             h = before[i]
-            if h >= 0:
-                r = get(piece[h:k])
-                if r is None:
-                    pair[h] = -1
-                elif pair[h] != r:
-                    pair[h] = r
-                    push(r, h)
+            for at, r in ((i, get(piece[i : after[k]]) if k < n else None), (h, get(piece[h:k]) if h >= 0 else None)):
+                if at >= 0 and pair[at] != (-1 if r is None else r):
+                    if r is None:
+                        pair[at] = -1
+                        continue
+                    pair[at] = r
+                    if r in buckets:
+                        heappush(buckets[r], at)
+                    else:
+                        buckets[r] = [at]
+                        words[r >> 8] |= 1 << (r & 255)
+                        top |= 1 << (r >> 8)
         out, i = [], 0
         while i < n:
             j = after[i]
@@ -148,7 +119,7 @@ class Codec:
         """Of a stretch that begins and ends between pre-tokens; each of its pre-tokens is kept, if short."""
         pieces, got = self.pattern.findall(word), []
         for piece in pieces:
-            own = self.words.get(piece)
+            own = self.words.get(piece) or self.old.get(piece)
             if own is None:
                 ids = self.merge(piece.encode())
                 own = ",".join(map(str, ids)), self.decode(ids)
@@ -170,14 +141,14 @@ class Codec:
                 pieces += map(" ".__add__, rest)
                 pieces.append("\n")
             pieces.pop()
-        words = self.words
-        if len(words) > self.LIMIT:
-            words.clear()
+        if len(self.words) > self.LIMIT:
+            self.old, self.words = self.words, {}
+        words, older = self.words, self.old
         ids, back = [], []
         for piece in pieces:
             got = words.get(piece)
             if got is None:
-                got = self._word(piece)
+                got = older.get(piece) or self._word(piece)
                 if len(piece) < 64:
                     words[piece] = got
             ids.append(got[0])
