@@ -217,7 +217,7 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32()))], ["id", "lang", "start", "end"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id long, lang string, start int, end int")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id long, lang string, start int, end int").withColumnRenamed("id", id_col)
 
 
 _taggers: dict[str, Tagger] = {}
