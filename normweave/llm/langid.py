@@ -73,10 +73,15 @@ class Model:
         return np.where(fine, score, score.min(1, keepdims=True) - 50.0)
 
 
-def fit(labelled: DataFrame, text_col: str, lang_col: str, *, rows: int = 6000, letters: int = 4000) -> Model:
-    """Fits on ``rows`` labelled rows at most, those with the least hash of the text, and ``letters`` characters of each."""
-    got = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    got = got.withColumn("h", F.xxhash64("t")).orderBy("h", "l").limit(rows).select(F.substring("t", 1, letters).alias("t"), "l").collect()
+def fit(labelled: DataFrame, text_col: str, lang_col: str, *, rows: int = 6000, letters: int = 3000) -> Model:
+    """Fits on the ``rows`` labelled texts with the least hashes, equal texts once, and ``letters`` characters of each.
+
+    The bound on the hash is found from hashes alone, so no more than those texts reach the driver.
+    """
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).withColumn("h", F.xxhash64("t"))
+    bound = known.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    few = known.where(F.col("h") <= (bound if bound is not None else 0)).select("h", F.substring("t", 1, letters).alias("t"), "l")
+    got = sorted(few.groupBy("h").agg(F.min(F.struct("l", "t")).alias("x")).select("h", "x.t", "x.l").collect())
     langs = sorted({r["l"] for r in got})
     counts = np.zeros((BUCKETS, len(langs)))
     scripts = np.zeros((len(_NAMES), len(langs)))
