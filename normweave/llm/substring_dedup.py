@@ -101,8 +101,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     rows = scratch.keep(chunk_rows(docs, id_col, text_col))
     first = rows.groupBy("digest").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("hi"), F.count("*").alias("n"))
-    first = first.where((F.col("n") > 1) & ~F.col("first.id").eqNullSafe(F.col("hi"))).select("digest", F.col("first.id").alias("keeper"))
-    gone = rows.join(first, "digest").where(~F.col("id").eqNullSafe(F.col("keeper")))
+    first = scratch.keep(first.where((F.col("n") > 1) & ~F.col("first.id").eqNullSafe(F.col("hi"))).select("digest", F.col("first.id").alias("keeper")))
+    # written first, so that both sides are plain scans and a hot digest can be split; a merge join at every size
+    gone = rows.join(first.hint("merge"), "digest").where(~F.col("id").eqNullSafe(F.col("keeper")))
     own = gone.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "keeper"))).alias("gone"))
 
     def step(acc, x):
