@@ -32,6 +32,7 @@ from .common import read
 SCRIPTS = [(0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0900, "Devanagari"), (0x0980, "Indic"), (0x0E00, "Thai"), (0x0E80, "Asian"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x2C60, "Latin"), (0x2C80, "Other"), (0x3040, "Kana"), (0x3100, "Han"), (0x3130, "Hangul"), (0x31A0, "Han"), (0xA000, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFF00, "Latin"), (0xFF66, "Kana"), (0x10000, "Other"), (0x20000, "Han")]
 _STARTS = np.array([s for s, _ in SCRIPTS])
 _NAMES = sorted({n for _, n in SCRIPTS})
+#: Letters, and numbers that are no digits (such as 2 raised), which count as no letters below.
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15
 
@@ -166,7 +167,7 @@ class Tagger(dict):
                 self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
             at = slice(len(self) - len(self.new), len(self))
             self.table[at] = self.model.words(self.new)
-            self.letters[at] = [len(w) for w in self.new]
+            self.letters[at] = [sum(map(str.isalpha, w)) for w in self.new]
         self.new.clear()
 
     def tag(self, texts: list[str | None], penalty: float) -> list[tuple[str, float, list[str], np.ndarray]]:
@@ -179,7 +180,7 @@ class Tagger(dict):
         paths = viterbi([self.table[i] for i in ids], penalty) if self.model.langs else ids
         out = []
         for w, i, p in zip(words, ids, paths):
-            if not len(i) or not self.model.langs:
+            if not self.letters[i].any() or not self.model.langs:
                 out.append(("und", 0.0, w, p))
                 continue
             held = np.bincount(p, self.letters[i], len(self.model.langs))
