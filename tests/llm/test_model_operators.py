@@ -109,9 +109,9 @@ def test_language_spans(spark):
     rows = [(i, " ".join(random.Random(i).sample(en.split(), 6)), "en") for i in range(60)] + [(i + 100, " ".join(random.Random(i).sample(de.split(), 6)), "de") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(df, "text", "lang")
-    asked = spark.createDataFrame([(1, f"{en} {en} {de} {de}", 1.0), (2, None, 2.0), (3, "123 !", 3.0), (4, "", 1.0), (5, "Γειά", 1.0), (6, en, 0.0)], "doc_id long, text string, lang_score double")
+    asked = spark.createDataFrame([(1, f"{en} {en} {de} {de}", 1.0), (2, None, 2.0), (3, "123 !", 3.0), (4, "", 1.0), (5, "Γειά", 1.0), (6, en, 0.0), (7, "x\u00b2 \u00b9\u00b2 \u00bd", 0.0), (8, "\u00b9\u00b2 \u00bd 7", 0.0)], "doc_id long, text string, lang_score double")
     got = {r.doc_id: r for r in langid.identify(asked, model).collect()}
-    assert [got[i].lang_pred for i in (2, 3, 4, 6)] == ["und", "und", "und", "en"] and got[2].lang_score == 0 and got[5].lang_pred in ("en", "de")
+    assert [got[i].lang_pred for i in (2, 3, 4, 6, 8)] == ["und", "und", "und", "en", "und"] and got[7].lang_pred != "und" and got[2].lang_score == 0 and got[5].lang_pred in ("en", "de")
     spans = [r for r in langid.spans(asked, model).collect() if r.doc_id == 1]
     assert [s.lang for s in spans] == ["en", "de"] and spans[1].start == 2 * len(en) + 2
     assert langid.identify(asked.where("false"), model).count() == 0
