@@ -274,10 +274,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, bucket: int = 1024) -> DataFrame:
     """(id, component_id) for each row: components of texts linked by similar shingle sets.
 
-    Equal sets are one vertex.  Candidates: pigeonring links of the fingerprints, and in each bucket of a min-wise band
-    the links of all members to an anchor, the smallest id; then, among what is not connected yet, to a second anchor
-    drawn by hash.  So a bucket of n texts gives at most 2n candidates, never its pairs.  Each candidate must pass the
-    ratio of sizes, the Hamming distance and the comparison of the whole sets.
+    Equal sets are one vertex.  Candidates are the pairs of a bucket: a min-wise band, or a component of the pigeonring links
+    of the fingerprints.  Each candidate must pass the ratio of sizes, the Hamming distance and the comparison of the whole
+    sets.  A bucket is worked in turns: the smallest id, the vertex that shares most buckets (the original of many copies)
+    and, from the second turn on, a share of the others that grows fourfold are compared with all members of other
+    components, and leave.  A bucket is done when one component holds what is left, so every pair of it was connected or compared;
+    only pairs that stay apart cost a comparison each.
     """
     scratch = Scratch(docs.sparkSession, "near-copies")
     asked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("text"))
@@ -285,36 +287,54 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = rows.where(F.col("size") > 0)
     same = ["digest", "size", "fp"]
     vertex = scratch.keep(full.groupBy(*same).agg(F.min("id").alias("v")))
+    ring = scratch.keep(links(vertex.select("fp").distinct(), scratch, bucket).distinct())
+    group = components(ring, scratch)
+    of_fp = vertex.where(F.col("v").isNotNull()).join(group, vertex.fp == group.node, "left").select("v", F.xxhash64(F.coalesce("root", "fp"), F.lit("fp")).alias("key"))
     # equal sets have equal bands: one row of each set is enough
     bands = full.join(vertex.select(*same, "v"), same).where(F.col("id") == F.col("v")).dropDuplicates(["id"])
-    bands = scratch.keep(bands.select("v", F.explode("bands").alias("key")))
-    anchors = bands.groupBy("key").agg(F.min("v").alias("one"), F.min(F.struct(F.xxhash64("v", "key").alias("h"), F.col("v").alias("v"))).alias("two"), F.count("*").alias("n"))
-    anchors = scratch.keep(anchors.where("n > 1").select("key", "one", F.col("two.v").alias("two")))
-    members = scratch.keep(bands.join(anchors, "key").select("v", "one", "two").distinct())
-    scratch.drop(bands, anchors)
-    # a fingerprint may have several sets; one vertex stands for it, the others are candidates of its own
-    of_fp = vertex.groupBy("fp").agg(F.min("v").alias("lead"))
-    ring = scratch.keep(links(of_fp.select("fp"), scratch, bucket).distinct())
-    ring = ring.join(of_fp.select(F.col("fp").alias("a"), F.col("lead").alias("va")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("lead").alias("vb")), "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
-    twins = vertex.join(of_fp, "fp").select(F.col("v").alias("a"), F.col("lead").alias("b"))
+    bands = scratch.keep(bands.select("v", F.explode("bands").alias("key")).unionByName(of_fp))
+    shared = scratch.keep(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = scratch.keep(bands.join(shared, "key").select("key", "v", "n"))
+    scratch.drop(bands, shared)
+    degree = members.groupBy("v").agg(F.sum("n").alias("degree"))
+    left = scratch.keep(members.join(degree, "v").select("key", "v", "degree", F.col("v").alias("root")))
+    scratch.drop(members)
     known = vertex.select("v", "size", "fp")
+    compared: list[DataFrame] = []
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        for old in compared:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
         side = lambda x: known.select(F.col("v").alias(x), F.col("size").alias(f"s{x}"), F.col("fp").alias(f"f{x}"))
         pairs = pairs.join(side("a"), "a").join(side("b"), "b")
         pairs = pairs.where((F.least("sa", "sb") >= similarity * F.greatest("sa", "sb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR_BITS)).select("a", "b")
         pairs = scratch.keep(pairs)
+        compared.append(pairs)
         met = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         return scratch.keep(_verified(pairs, asked.join(met, "id", "left_semi").dropDuplicates(["id"]), words, similarity))
 
-    first = checked(members.select(F.col("v").alias("a"), F.col("one").alias("b")).unionByName(ring).unionByName(twins))
-    root = scratch.keep(components(first, scratch))
-    at = lambda x: root.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-    apart = members.select(F.col("v").alias("a"), F.col("two").alias("b")).distinct().join(at("a"), "a", "left").join(at("b"), "b", "left")
-    apart = apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    second = checked(apart)
-    root = components(first.unionByName(second), scratch).withColumnRenamed("node", "v")
+    root, turn = None, 0
+    while True:
+        buckets = left.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("one"), F.max(F.struct("degree", "v"))["v"].alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        buckets = scratch.keep(buckets.where("lo <> hi").select("key", "n", "one", "hub"))
+        if buckets.isEmpty() and root is not None:
+            break
+        drawn = F.pmod(F.xxhash64("v", "key"), F.lit(1 << 30)) * F.col("n") < F.lit(float((4**turn - 1) << 30))
+        marked = left.join(buckets, "key").select("key", "v", "degree", "root", ((F.col("v") == F.col("one")) | (F.col("v") == F.col("hub")) | drawn).alias("anchor"))
+        marked = scratch.keep(marked)
+        scratch.drop(left, buckets)
+        anchors = marked.where("anchor").select("key", F.col("v").alias("b"), F.col("root").alias("other"))
+        new = checked(marked.join(anchors, "key").where(F.col("root") != F.col("other")).select(F.col("v").alias("a"), "b"))
+        if root is None or not new.isEmpty():
+            if root is not None:
+                new = new.unionByName(root.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            root = scratch.keep(components(new, scratch))
+        now = root.select(F.col("node").alias("v"), F.col("root").alias("now"))
+        left = scratch.keep(marked.where("not anchor").join(now, "v", "left").select("key", "v", "degree", F.coalesce("now", "v").alias("root")))
+        scratch.drop(marked)
+        turn += 1
+    root = root.withColumnRenamed("node", "v")
     label = scratch.keep(vertex.join(root, "v", "left").select(*same, F.coalesce("root", "v").alias("component_id")))
     return rows.select("id", *same).join(label, same, "left").select(F.col("id").alias(id_col), F.coalesce("component_id", "id").alias("component_id"))
 

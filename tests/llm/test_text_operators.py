@@ -173,6 +173,40 @@ def test_near_copies(spark):
     assert simhash.near_copies(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("copies", [100, 400])
+def test_near_copies_of_an_original_that_is_not_the_smallest(spark, copies):
+    rng = random.Random(copies)
+    shingles = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+
+    def edited(base, n):
+        out = list(base)
+        for k in rng.sample(range(300), n):
+            out[k] = f"x{rng.randrange(10**9)}"
+        return " ".join(out)
+
+    texts = []
+    for n in (copies, copies // 4):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts += [edited(base, 5) for _ in range(n)] + [" ".join(base)]
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts += [edited(base, 5) for _ in range(30)]  # without their original most stay apart
+    sets, par = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                par[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 def test_substring_dedup(spark):
     rng = random.Random(7)
     words = lambda n: " ".join("".join(rng.choice("abcdefgé") for _ in range(rng.randint(2, 9))) for _ in range(n))
