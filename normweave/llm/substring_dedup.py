@@ -1,9 +1,10 @@
 """Substring dedup by content-defined chunking.
 
 A gear rolling hash runs over the bytes of a text: h = (h << 1) + gear[byte] in 16 bits, so it depends on the last 16
-bytes.  A chunk may end where a word ends, and does if the hash there is in the lowest sixth of its range.  The places of
-the cuts depend on the content alone: after an insertion they fall in step again within a few words, and a passage that
-two documents share has the same chunks in both, but for its edges.  Chunks are compared by a 64-bit digest; the smallest
+bytes.  A chunk may end where a word ends, and does if the hash there is the least of any 11 consecutive word ends (the last
+of equals).  So a chunk has 11 words at most, 6 in the mean, whatever the content, and two documents that share a passage have
+the same cuts in it from the first to the last window of 11 word ends whose hashes lie in the passage: at most 11 words, and
+the words of the first 16 bytes, are lost at its edges.  A passage of 42 words always gives a run of 12.  Chunks are compared by a 64-bit digest; the smallest
 (id, place) of a digest keeps it.  A document loses each run of consecutive chunks that other documents keep, if the
 run has ``min_words`` words or more: one stray equal chunk, or a collision of digests, is no run.
 
@@ -29,7 +30,8 @@ from .common import Scratch, read, text_or_empty
 
 #: The gear: a 16-bit value for each byte.
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) & 0xFFFF for b in range(256)], np.uint16)
-CUT = 65536 // 6
+#: Word ends of a window; each window has a cut.
+WINDOW = 11
 LONGEST = 30_000
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -45,6 +47,19 @@ def gear_hash(raw: np.ndarray) -> np.ndarray:
     return h
 
 
+def cuts(h: np.ndarray) -> np.ndarray:
+    """Places of the least value, of equals the last, of every WINDOW consecutive values; minima by doubling."""
+    key = h.astype(np.int64) << 32 | np.arange(len(h), 0, -1)
+    if len(key) < WINDOW:
+        return np.zeros(0, np.int64)
+    span = 1
+    while span < WINDOW:
+        by = min(span, WINDOW - span)
+        key = np.minimum(key[:-by], key[by:])
+        span += by
+    return np.unique(len(h) - (key & 0xFFFFFFFF))
+
+
 def chunks(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """The chunks of a text: bytes, first code point, number of code points, number of words."""
     data = text.encode()
@@ -57,7 +72,7 @@ def chunks(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     if not len(first):
         return [], none, none, none
     ends = np.flatnonzero(white[1:] & ~white[:-1])  # last byte of words that white space follows
-    ends = ends[gear_hash(raw)[ends] < CUT]
+    ends = ends[cuts(gear_hash(raw)[ends])]
     point = np.cumsum((raw & 0xC0) != 0x80)  # code points up to and with each byte
     # a chunk runs from its first word to the byte before the first word of the next
     at = np.unique(np.concatenate([[first[0]], first[np.minimum(np.searchsorted(first, ends, "right"), len(first) - 1)]]))

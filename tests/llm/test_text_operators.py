@@ -229,3 +229,27 @@ def test_chunks_are_whole(text):
     pieces, start, size, words = substring_dedup.chunks(text)
     assert sum(size) <= len(text) and "".join("".join(p.decode().split()) for p in pieces) == "".join(text.encode().replace(b"\x0b", b" ").decode().split()) or " " in text
     assert all(text[a : a + n].encode().strip(b" \t\n\x0b\x0c\r") == p for p, a, n in zip(pieces, start, size))
+
+
+def common_run(a, b, passage):
+    """Most words in consecutive chunks of a, within the passage, that b has as well."""
+    kept, lo = set(substring_dedup.chunks(b)[0]), a.index(passage)
+    pieces, start, size, words = substring_dedup.chunks(a)
+    best = now = 0
+    for p, s, n, w in zip(pieces, start, size, words):
+        now = now + w if p in kept and lo <= s and s + n <= lo + len(passage) + 1 else 0
+        best = max(best, now)
+    return best
+
+
+@pytest.mark.parametrize("pool", [1, 3, 12, 40, 5000])
+def test_passages_of_51_words_give_a_run(pool):
+    rng = random.Random(pool)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoé") for _ in range(rng.randint(1, 10))) for _ in range(6000)]
+    words = lambda n, v: " ".join(rng.choice(v) for _ in range(n))
+    runs = []
+    for _ in range(1500):
+        passage = words(51, rng.sample(vocabulary, pool))
+        a, b = (f"{words(rng.randint(20, 60), vocabulary)} {passage} {words(rng.randint(20, 60), vocabulary)}" for _ in range(2))
+        runs.append(common_run(a, b, passage))
+    assert min(runs) >= 12
