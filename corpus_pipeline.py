@@ -26,8 +26,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies (rows with a null doc_id stay)."""
-    group = simhash.near_copies(docs)
+    """Keeps the smallest doc_id of each group of near copies, blank texts being one group (rows with a null doc_id stay)."""
+    group = simhash.near_copies(docs, blanks=True)
     gone = group.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -20,7 +20,7 @@ most of them; there, candidates also come from min-wise bands of the same shingl
 whole shingle sets.
 
 Defined cases: null and blank texts have fingerprint 0 and are linked to each other like any others (``near_copies``
-leaves them single); equal ids are one document for components (repeated rows each get a result); null ids keep a null
+leaves them single unless asked); equal ids are one document for components (repeated rows each get a result); null ids keep a null
 component unless linked; an empty table gives an empty result.
 """
 
@@ -271,8 +271,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, bucket: int = 1024) -> DataFrame:
-    """(id, component_id) for each row: components of texts linked by similar shingle sets.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, bucket: int = 1024, blanks: bool = False) -> DataFrame:
+    """(id, component_id) for each row: components of texts linked by similar shingle sets; with ``blanks`` also those without a shingle.
 
     Equal sets are one vertex.  Candidates are the pairs of a bucket: a min-wise band, or a component of the pigeonring links
     of the fingerprints.  Each candidate must pass the ratio of sizes, the Hamming distance and the comparison of the whole
@@ -284,7 +284,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "near-copies")
     asked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     rows = scratch.keep(_sketches(asked, words))
-    full = rows.where(F.col("size") > 0)
+    full = rows if blanks else rows.where(F.col("size") > 0)
     same = ["digest", "size", "fp"]
     vertex = scratch.keep(full.groupBy(*same).agg(F.min("id").alias("v")))
     ring = scratch.keep(links(vertex.select("fp").distinct(), scratch, bucket).distinct())

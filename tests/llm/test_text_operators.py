@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +208,12 @@ def test_near_copies_of_an_original_that_is_not_the_smallest(spark, copies):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_pipeline_keeps_one_blank_document(spark):
+    rows = [(4, ""), (2, None), (3, " \n"), (5, "one text"), (6, "another text"), (7, "one text"), (None, "")]
+    kept = [r.doc_id for r in corpus_pipeline.near_copies(spark, docs(spark, rows), "").collect()]
+    assert sorted(kept, key=repr) == [2, 5, 6, None]
+
+
 def test_substring_dedup(spark):
     rng = random.Random(7)
     words = lambda n: " ".join("".join(rng.choice("abcdefgé") for _ in range(rng.randint(2, 9))) for _ in range(n))
