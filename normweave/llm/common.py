@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  One of our own only where the session names none (tests)."""
+    """The folder that driver and executors share.  One of our own only for a local master (tests), where no folder is another machine's."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="normweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -26,37 +29,59 @@ class Scratch:
     """Tables of one operator call, written to the shared folder.
 
     A written table cuts the lineage and survives lost executors.  ``drop`` removes a table as soon as a later one
-    replaces it; the ones that the returned DataFrame reads stay until ``clear``.
+    replaces it; the ones that the returned DataFrame reads stay until ``clear`` or, where nobody calls that, the end of
+    the application.
     """
 
+    #: Those not cleared yet, oldest first.
+    opened: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[str, DataFrame]] = {}
+        at, files = self._at(self.root)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        self.opened.append(self)
 
     def keep(self, df: DataFrame, by: list[str] | None = None) -> DataFrame:
         path = f"{self.root}/t{self.n}"
         self.n += 1
         writer = df.write.mode("error")
         (writer.partitionBy(*by) if by else writer).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        self._alive = getattr(self, "_alive", [])
-        self._alive.append(out)
+        return self.known(path, df.schema)
+
+    def known(self, path: str, schema) -> DataFrame:
+        """The written table at path, which ``drop`` knows from now on."""
+        out = self.spark.read.schema(schema).parquet(path)
+        self.paths[id(out)] = path, out  # the table itself, so that its id is not given to another one
         return out
 
+    def _at(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        at, files = self._at(path)
+        files.delete(at, True)
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             if path := self.paths.pop(id(t), None):
-                self._delete(path)
+                self._delete(path[0])
 
     def clear(self) -> None:
         self._delete(self.root)
+        self.paths.clear()
+        if self in self.opened:
+            self.opened.remove(self)
+
+    @classmethod
+    def clear_since(cls, mark: int) -> None:
+        """Clears those opened after the first ``mark``: for callers that have written an operator's result."""
+        for scratch in cls.opened[mark:]:
+            scratch.clear()
 
 
 def ascii_lower(c: Column) -> Column:
@@ -84,6 +109,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def rows_per_batch(spark: SparkSession, rows: int) -> None:
-    """Rows that go to Python at once; long texts make batches of the default 10,000 rows too large."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def row_key(text: Column) -> Column:
+    """Tells rows with the same id apart: 64 bits of the text (null as empty)."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))

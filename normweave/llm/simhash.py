@@ -15,9 +15,10 @@ at most 2, so all of a centre's rows link to the smallest row at distance at mos
 for any size.
 
 ``near_copies`` is the form for corpora: links are pairs of texts with Jaccard similarity of word shingles of 0.8 or more.
-The fingerprints of such pairs differ in 4 to 15 bits, far above any budget with a usable index, so SimHash alone loses
-most of them; there, candidates also come from min-wise bands of the same shingle hashes, and each is verified on the
-whole shingle sets.
+The fingerprints of such pairs differ in 4 to 15 of 64 bits, far above any budget with a usable index, so SimHash alone
+loses most of them.  There, candidates come from min-wise bands of the same shingle hashes; SimHash with pigeonring chains,
+over a ring of four words of 64 bits, prunes them before the full Hamming check, and what passes is verified on the whole
+shingle sets.
 
 Defined cases: null and blank texts have fingerprint 0 and are linked to each other like any others (``near_copies``
 leaves them single unless asked); equal ids are one document for components (repeated rows each get a result); null ids keep a null
@@ -27,6 +28,7 @@ component unless linked; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice, repeat
 
 import numpy as np
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read, text_or_empty
+from .common import Scratch, read, row_key, text_or_empty
 from .components import components
 
 SEGMENTS, WIDTH, BITS = 4, 16, 3
@@ -217,126 +219,179 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 BANDS, ROWS = 21, 6
 #: Odd multipliers of the min-wise hash functions, and of the mixture of a band's minima.
 _MULTIPLIERS = np.fromiter((xxhash.xxh64_intdigest(str(i), 11) | 1 for i in range(BANDS * ROWS)), np.uint64)
-#: Fingerprints of sets with similarity 0.8 differ in 9.7 bits in the mean, with a deviation of 2.9.
-FAR_BITS = 26
-
-
-def sketch(text: str | None, words: int) -> tuple[int, int, int, np.ndarray]:
-    """(fingerprint, number of distinct shingles, digest of their set, a key for each band)."""
+#: Words of the long fingerprint, which are the segments of its ring, and the bits in which it may differ.  At a similarity
+#: of 0.8 two differ in 31 to 39 of the 256 bits in the mean, with a deviation of 5.2 to 5.8 (sets of more than ``FEW`` shingles).
+LONG, FAR, FEW = 4, 72, 16
+_SALTS = np.fromiter((xxhash.xxh64_intdigest(str(i), 13) for i in range(LONG)), np.uint64)
+_WORDS = [f"f{k}" for k in range(LONG)]
+
+
+def long_fingerprint(h: np.ndarray) -> np.ndarray:
+    """A SimHash of 64 LONG bits: each word comes from its own mixture of the shingle hashes."""
+    counts = np.zeros(64 * LONG, np.int64)
+    for lo in range(0, len(h), 4096):
+        x = h[lo : lo + 4096, None] + _SALTS
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        counts += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(h)).view(np.uint64)
+
+
+def sketch(text: str | None, words: int) -> tuple[np.ndarray, int, int, np.ndarray]:
+    """(long fingerprint, number of distinct shingles, digest of their set, a key for each band)."""
     h = np.unique(hashes(shingles(text, words)))
     least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(h), 512):
         least = np.minimum(least, (h[lo : lo + 512, None] * _MULTIPLIERS).min(0))
     keys = ((least ^ (least >> np.uint64(29))) * _MULTIPLIERS[::-1]).reshape(BANDS, ROWS).sum(1) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)
-    return fingerprint(h), len(h), int(h.sum()) if len(h) else 0, keys
+    return long_fingerprint(h), len(h), int(h.sum()) if len(h) else 0, keys
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(id, key, text) to (id, key, size, digest, f0.., bands)."""
+    schema = f"id long, key long, size long, digest long, {', '.join(f'{w} long' for w in _WORDS)}, bands array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                got = [sketch(t.as_py(), words) for t in part.column(2)]
+                bands = np.concatenate([g[3] for g in got]).view(np.int64)
+                fps = np.stack([g[0] for g in got]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([g[1] for g in got], pa.int64()), pa.array([_signed(g[2]) for g in got], pa.int64()), *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(LONG)], pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS), pa.int32()), pa.array(bands))],
+                    ["id", "key", "size", "digest", *_WORDS, "bands"],
+                )
+
+    return docs.mapInArrow(run, schema)
+
+
+def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(v, text) to (v, h): the sorted 64-bit hashes of the distinct shingles, as bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [sketch(t.as_py(), words) for t in b.column(1)]
-            bands = np.concatenate([g[3] for g in got] or [np.zeros(0, np.uint64)])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([_signed(g[0]) for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([_signed(g[2]) for g in got], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS), pa.int32()), pa.array(bands.view(np.int64)))],
-                ["id", "fp", "size", "digest", "bands"],
-            )
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(hashes(shingles(t.as_py(), words))).tobytes() for t in part.column(1)], pa.binary())], ["v", "h"])
 
-    return docs.mapInArrow(run, "id long, fp long, size long, digest long, bands array<long>")
+    return texts.mapInArrow(run, "v long, h binary")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar."""
+def in_ring(differences: list[Column], budget: int) -> Column:
+    """Whether some segment starts a chain each of whose beginnings keeps its share of the budget; the last share is the whole."""
+    m, chains = len(differences), []
+    for start in range(m):
+        total, fine = None, None
+        for length in range(1, m + 1):
+            d = differences[(start + length - 1) % m]
+            total = d if total is None else total + d
+            now = total <= length * budget // m
+            fine = now if fine is None else fine & now
+        chains.append(fine)
+    return reduce(lambda a, b: a | b, chains)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are similar.  Each set of a comes to the set of its anchor b once for each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, frozenset] = {}
         for batch in batches:
             a, b = [], []
             for x, y, s, t in zip(*(batch.column(i) for i in range(4))):
-                x, y = x.as_py(), y.as_py()
-                for key, text in ((x, s), (y, t)):
-                    if key not in sets:
-                        if len(sets) > 40:
-                            sets.clear()
-                        sets[key] = frozenset(shingles(text.as_py(), words))
-                p, q = sets.get(x), sets.get(y)
-                p = frozenset(shingles(s.as_py(), words)) if p is None else p
-                both = len(p & q)
+                p, q = (np.frombuffer(z.as_py(), np.uint64) for z in (s, t))
+                both = len(np.intersect1d(p, q, assume_unique=True))
                 if both >= similarity * (len(p) + len(q) - both):
-                    a.append(x)
-                    b.append(y)
+                    a.append(x.as_py())
+                    b.append(y.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    one = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    one = pairs.join(sets.select(F.col("v").alias("a"), F.col("h").alias("ha")).hint("merge"), "a")
+    both = one.join(sets.select(F.col("v").alias("b"), F.col("h").alias("hb")).hint("merge"), "b")
+    return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+
 
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, blanks: bool = False, block: int = 1024) -> DataFrame:
+    """(id, row_key, component_id, stays) for each row: components of texts linked by similar shingle sets; with ``blanks`` also those without a shingle.
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, bucket: int = 1024, blanks: bool = False) -> DataFrame:
-    """(id, component_id) for each row: components of texts linked by similar shingle sets; with ``blanks`` also those without a shingle.
+    Rows are told apart by id and ``row_key`` (of the text), so a repeated id never speaks for another text.  ``component_id``
+    is the smallest id of the component; ``stays`` marks the row with that id (of several texts with it, the one with the
+    least key) and every row with a null id.  Fully repeated rows all carry the same mark.
 
-    Equal sets are one vertex.  Candidates are the pairs of a bucket: a min-wise band, or a component of the pigeonring links
-    of the fingerprints.  Each candidate must pass the ratio of sizes, the Hamming distance and the comparison of the whole
-    sets.  A bucket is worked in turns: the smallest id, the vertex that shares most buckets (the original of many copies)
-    and, from the second turn on, a share of the others that grows fourfold are compared with all members of other
-    components, and leave.  A bucket is done when one component holds what is left, so every pair of it was connected or compared;
-    only pairs that stay apart cost a comparison each.
+    Equal sets are one vertex.  Candidates are the pairs of a min-wise bucket whose sizes can give the similarity and whose
+    long fingerprints pass the pigeonring chains (sets of ``FEW`` shingles or less go without); all that is settled inside
+    the join of the bucket, before anything is sent.  Each candidate's whole sets are then compared.  A bucket is worked in
+    turns: the smallest vertex, the one that shares most buckets (the original of many copies) and, from the second turn on,
+    a share of the others that grows sixteenfold are compared with all members of other components, and leave.  A
+    bucket is done when one component holds what is left, so every pair of it was connected or compared.  Buckets of more
+    than ``block`` members are dealt in parts, each of which meets a copy of the anchors.
     """
     scratch = Scratch(docs.sparkSession, "near-copies")
-    asked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    asked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("text")).select("id", row_key(F.col("text")).alias("key"), "text")
     rows = scratch.keep(_sketches(asked, words))
-    full = rows if blanks else rows.where(F.col("size") > 0)
-    same = ["digest", "size", "fp"]
-    vertex = scratch.keep(full.groupBy(*same).agg(F.min("id").alias("v")))
-    ring = scratch.keep(links(vertex.select("fp").distinct(), scratch, bucket).distinct())
-    group = components(ring, scratch)
-    of_fp = vertex.where(F.col("v").isNotNull()).join(group, vertex.fp == group.node, "left").select("v", F.xxhash64(F.coalesce("root", "fp"), F.lit("fp")).alias("key"))
-    # equal sets have equal bands: one row of each set is enough
-    bands = full.join(vertex.select(*same, "v"), same).where(F.col("id") == F.col("v")).dropDuplicates(["id"])
-    bands = scratch.keep(bands.select("v", F.explode("bands").alias("key")).unionByName(of_fp))
+    # a vertex is a set; blanks that stay single are one for each id
+    vertex_of = F.xxhash64("digest", "size", "f0", *([] if blanks else [F.when(F.col("size") == 0, F.col("id"))]))
+    first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "key")).alias("first")
+    vertex = scratch.keep(rows.groupBy(vertex_of.alias("v")).agg(first))
+    sketched = ["v", "size", *_WORDS]
+    one = rows.where("size > 0").withColumn("v", vertex_of).join(vertex.hint("merge"), "v").where(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key")))
+    one = scratch.keep(one.groupBy(*sketched).agg(F.first("bands").alias("bands")))
+    bands = one.select("v", F.explode("bands").alias("key"))
     shared = scratch.keep(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = scratch.keep(bands.join(shared, "key").select("key", "v", "n"))
-    scratch.drop(bands, shared)
-    degree = members.groupBy("v").agg(F.sum("n").alias("degree"))
-    left = scratch.keep(members.join(degree, "v").select("key", "v", "degree", F.col("v").alias("root")))
-    scratch.drop(members)
-    known = vertex.select("v", "size", "fp")
+    members = scratch.keep(bands.join(shared.hint("merge"), "key").select("key", "v", "n"))
+    met = scratch.keep(members.groupBy("v").agg(F.sum("n").alias("degree")))
+    known = scratch.keep(one.join(met.hint("merge"), "v").select(*sketched, "degree"))
+    left = scratch.keep(members.join(known.hint("merge"), "v").select("key", *sketched, "degree", F.col("v").alias("root")))
+    source = vertex.join(met.hint("merge"), "v", "left_semi").select("v", F.col("first.id").alias("id"), F.col("first.key").alias("key"))
+    # the only time that texts move; ids that are null are few texts of many rows, so their key decides alone
+    ident = lambda x: F.coalesce(x, F.lit(-(2**63)))
+    texts = asked.withColumn("at", ident(F.col("id"))).join(source.select("v", ident(F.col("id")).alias("at"), "key").hint("merge"), ["at", "key"])
+    sets = scratch.keep(_shingle_sets(texts.select("v", "text"), words).dropDuplicates(["v"]))
+    scratch.drop(one, shared, members, met, known)
     compared: list[DataFrame] = []
 
     def checked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        pairs = pairs.distinct()
         for old in compared:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
-        side = lambda x: known.select(F.col("v").alias(x), F.col("size").alias(f"s{x}"), F.col("fp").alias(f"f{x}"))
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-        pairs = pairs.where((F.least("sa", "sb") >= similarity * F.greatest("sa", "sb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR_BITS)).select("a", "b")
-        pairs = scratch.keep(pairs)
-        compared.append(pairs)
-        met = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        return scratch.keep(_verified(pairs, asked.join(met, "id", "left_semi").dropDuplicates(["id"]), words, similarity))
+        compared.append(scratch.keep(pairs))
+        return scratch.keep(_verified(compared[-1], sets, similarity))
 
     root, turn = None, 0
     while True:
-        buckets = left.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("one"), F.max(F.struct("degree", "v"))["v"].alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        buckets = scratch.keep(buckets.where("lo <> hi").select("key", "n", "one", "hub"))
-        if buckets.isEmpty() and root is not None:
+        told = F.struct("degree", *sketched, "root")
+        buckets = left.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(*sketched, "root")).alias("one"), F.max(told).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        buckets = scratch.keep(buckets.where("lo <> hi").select("key", "n", "one", "hub", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+        if buckets.isEmpty():
             break
-        drawn = F.pmod(F.xxhash64("v", "key"), F.lit(1 << 30)) * F.col("n") < F.lit(float((4**turn - 1) << 30))
-        marked = left.join(buckets, "key").select("key", "v", "degree", "root", ((F.col("v") == F.col("one")) | (F.col("v") == F.col("hub")) | drawn).alias("anchor"))
-        marked = scratch.keep(marked)
+        drawn = F.pmod(F.xxhash64("v", "key"), F.lit(1 << 30)) * F.col("n") < F.lit(float((16**turn - 1) << 30))
+        marked = left.join(buckets.select("key", "n", "parts", F.col("one.v").alias("one"), F.col("hub.v").alias("hub")).hint("merge"), "key")
+        marked = scratch.keep(marked.select("key", *sketched, "degree", "root", "parts", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), ((F.col("v") == F.col("one")) | (F.col("v") == F.col("hub")) | drawn).alias("anchor")))
         scratch.drop(left, buckets)
-        anchors = marked.where("anchor").select("key", F.col("v").alias("b"), F.col("root").alias("other"))
-        new = checked(marked.join(anchors, "key").where(F.col("root") != F.col("other")).select(F.col("v").alias("a"), "b"))
-        if root is None or not new.isEmpty():
+        anchors = marked.where("anchor").select("key", *[F.col(c).alias(f"b_{c}") for c in (*sketched, "root")], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        both = marked.join(anchors.hint("merge"), ["key", "part"])
+        far = in_ring([F.bit_count(F.col(w).bitwiseXOR(F.col(f"b_{w}"))) for w in _WORDS], FAR)
+        fine = (F.col("root") != F.col("b_root")) & (F.least("size", "b_size") >= similarity * F.greatest("size", "b_size")) & ((F.least("size", "b_size") <= FEW) | far)
+        new = checked(both.where(fine).select(F.greatest("v", "b_v").alias("a"), F.least("v", "b_v").alias("b")))
+        now = marked.where("not anchor")
+        if not new.isEmpty():
             if root is not None:
                 new = new.unionByName(root.select(F.col("node").alias("a"), F.col("root").alias("b")))
             root = scratch.keep(components(new, scratch))
-        now = root.select(F.col("node").alias("v"), F.col("root").alias("now"))
-        left = scratch.keep(marked.where("not anchor").join(now, "v", "left").select("key", "v", "degree", F.coalesce("now", "v").alias("root")))
+        if root is not None:
+            now = now.join(root.select(F.col("node").alias("v"), F.col("root").alias("now")).hint("merge"), "v", "left").withColumn("root", F.coalesce("now", "root"))
+        left = scratch.keep(now.select("key", *sketched, "degree", "root"))
         scratch.drop(marked)
         turn += 1
-    root = root.withColumnRenamed("node", "v")
-    label = scratch.keep(vertex.join(root, "v", "left").select(*same, F.coalesce("root", "v").alias("component_id")))
-    return rows.select("id", *same).join(label, same, "left").select(F.col("id").alias(id_col), F.coalesce("component_id", "id").alias("component_id"))
+    scratch.drop(left, buckets, sets, *compared)
+    out = rows.select("id", "key", vertex_of.alias("v"))
+    if root is not None:
+        linked = root.select(F.col("node").alias("v"), "root").join(vertex.hint("merge"), "v")
+        least = linked.groupBy("root").agg(F.min("first").alias("least"))
+        vertex = vertex.join(linked.select("v", "root").join(least, "root").select("v", "least"), "v", "left").select("v", F.coalesce("least", "first").alias("first"))
+    label = scratch.keep(out.join(vertex.hint("merge"), "v").select("id", "key", F.coalesce("first.id", "id").alias("component_id"), (F.col("id").isNull() | (F.col("id") == F.col("first.id")) & (F.col("key") == F.col("first.key"))).alias("stays")))
+    scratch.drop(rows)
+    return label.select(F.col("id").alias(id_col), F.col("key").alias("row_key"), "component_id", "stays")
 
 
 def op2_simhash_near_dedup(spark, sf_dir):
