@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normweave.llm import langid, line_dedup, packing, pii, simhash
-from normweave.llm.common import Scratch, read
+from normweave.llm.common import Scratch, read, row_key
 
 #: Documents whose best language holds less of their letters than this are rejected, as are those without letters.
 LEAST_LANGUAGE_SHARE = 0.34
@@ -26,10 +26,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies, blank texts being one group (rows with a null doc_id stay)."""
-    group = simhash.near_copies(docs, blanks=True)
-    gone = group.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one document of each group of near copies, blank texts being one group: that with the smallest doc_id.
+
+    Rows are told apart by doc_id and text: a repeated doc_id with another text is another document, rows that repeat both are
+    one and any of them stays.  Rows with a null doc_id stay, repeated ones once.
+    """
+    mark = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__null": F.col("doc_id").isNull(), "__key": row_key(F.col("text"))}
+    stay = simhash.near_copies(docs, blanks=True).where("stays")
+    stay = stay.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("row_key").alias("__key"))
+    # repeated rows are combined before texts move, so none of them makes a hot key; the join needs no other shuffle of texts
+    once = docs.withColumns(mark).dropDuplicates(list(mark))
+    return once.join(stay.hint("merge"), list(mark), "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +66,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
-    docs = read(spark, sf_dir, "documents")
+    docs, mark = read(spark, sf_dir, "documents"), len(Scratch.opened)
     for _, stage in STAGES[:-1]:
         before, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
         scratch.drop(before)
+        Scratch.clear_since(mark)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
