@@ -40,6 +40,7 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[int, tuple[str, DataFrame]] = {}
+        self.names: dict[str, str] = {}
         at, files = self._at(self.root)
         files.mkdirs(at)
         files.deleteOnExit(at)
@@ -52,6 +53,21 @@ class Scratch:
         (writer.partitionBy(*by) if by else writer).parquet(path)
         return self.known(path, df.schema)
 
+    def keep_sorted(self, df: DataFrame, key: str, buckets: int, *, dealt: bool = False) -> DataFrame:
+        """A table in ``buckets`` files by key, each sorted by it: joins of two such tables merge without a shuffle.
+
+        ``dealt`` says that df is the join of such tables and needs no dealing either.
+        """
+        name = f"run_{uuid.uuid4().hex}"
+        path = f"{self.root}/t{self.n}"
+        self.n += 1
+        rows = df if dealt else df.repartition(buckets, key)
+        rows.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        self.paths[id(out)] = path, out
+        self.names[path] = name
+        return out
+
     def known(self, path: str, schema) -> DataFrame:
         """The written table at path, which ``drop`` knows from now on."""
         out = self.spark.read.schema(schema).parquet(path)
@@ -63,6 +79,8 @@ class Scratch:
         return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _delete(self, path: str) -> None:
+        if name := self.names.pop(path, None):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         at, files = self._at(path)
         files.delete(at, True)
 
@@ -72,6 +90,8 @@ class Scratch:
                 self._delete(path[0])
 
     def clear(self) -> None:
+        for path in list(self.names):
+            self._delete(path)
         self._delete(self.root)
         self.paths.clear()
         if self in self.opened:

@@ -1,16 +1,19 @@
 """Line dedup over levelled sorted runs of line digests (native).
 
 Documents come in batches, here ranges of descending id, so that a line's keeper (the largest id) is in the batch in
-which its key first appears.  The index is a set of immutable runs, sorted by digest, at levels like those of a
-log-structured merge tree.  A batch anti-joins the runs: keys without a match are fresh and get their keeper, keys with a
-match only add to the count of documents.  Both go into the batch's own run.  When a level holds ``fanout`` runs they are
-merged into one of the next level, so a key is rewritten log(batches) times.
+which its key first appears.  The index is a set of immutable runs, sorted by digest in buckets, at levels like those of
+a log-structured merge tree.  A batch is shuffled and sorted once.  It merge-anti-joins the runs: only keys without a
+match enter its run, with their keeper, so each key is in one run and has one keeper; keys with a match add to the
+counts of documents beside the runs.  When a level holds ``fanout`` runs they are merged into one of the next level, so
+a key is rewritten log(batches) times.  Runs share their buckets, so none of these joins shuffles a run again.
 
-Only 16-byte digests are shuffled; the text is read twice and moved once, to meet its document's dropped digests.
+Only 16-byte digests are shuffled; the text is read twice and moved once, to meet its document's dropped digests.  Digests that hold
+over a thousandth of all lines are less than a thousand: they reach the lines by broadcast, so none is gathered in a task.
 
 Defined cases: null text is one empty line; equal ids are one document for counting (repeated rows each get a result);
 null ids count as one document that is smaller than every other; an empty table gives an empty result; lines shorter than
-``min_chars`` always stay; a column named ``line_dedup`` in the input is replaced.
+``min_chars`` always stay; a text may have any number of lines (those of long texts look their digests up by a part of
+the digest); other columns may have any names, and one named ``line_dedup`` is replaced.
 """
 
 from __future__ import annotations
@@ -30,45 +33,71 @@ def _lines(text: str) -> Column:
 
 
 class LineIndex:
-    """Runs (h, keeper, n): digest, largest document id once it is known, number of documents in the batch."""
+    """Runs (h, keeper, n) whose keys are disjoint, and beside each the counts (h, n) that its batches added to older runs' keys."""
 
-    def __init__(self, scratch: Scratch, fanout: int):
-        self.scratch, self.fanout, self.levels = scratch, fanout, []
+    def __init__(self, scratch: Scratch, buckets: int, fanout: int):
+        self.scratch, self.buckets, self.fanout = scratch, buckets, fanout
+        self.levels: list[list[tuple[DataFrame, DataFrame]]] = []
 
-    def runs(self) -> DataFrame | None:
-        out = None
-        for run in (r for level in self.levels for r in level):
-            out = run if out is None else out.unionByName(run)
-        return out
+    def _keep(self, df: DataFrame, dealt: bool = True) -> DataFrame:
+        return self.scratch.keep_sorted(df, "h", self.buckets, dealt=dealt)
+
+    def add(self, batch: DataFrame) -> None:
+        """batch: (h, keeper, n), one row for each key."""
+        batch = self._keep(batch, dealt=False)
+        fresh = batch
+        for run, _ in (r for level in self.levels for r in level):
+            fresh = self.fresh(fresh, run)
+        fresh = self._keep(fresh)
+        seen = self._keep(batch.join(fresh.select("h").hint("merge"), "h", "left_anti").select("h", "n"))
+        self.scratch.drop(batch)
+        self._put(0, (fresh, seen))
 
     @staticmethod
-    def merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h").agg(F.max("keeper").alias("keeper"), F.sum("n").alias("n"))
+    def fresh(batch: DataFrame, run: DataFrame) -> DataFrame:
+        """The batch's keys that the run doesn't hold."""
+        return batch.join(run.select("h").hint("merge"), "h", "left_anti")
 
-    def add(self, batch: DataFrame) -> None:
-        """batch: (h, keeper, n), one row for each key, sorted and written as the batch's run."""
-        known = self.runs()
-        if known is not None:
-            keys = known.select("h")
-            fresh = batch.join(keys, "h", "left_anti")
-            seen = batch.join(keys, "h", "left_semi").withColumn("keeper", F.lit(None).cast("long"))
-            batch = fresh.unionByName(seen)
-        self._put(0, batch.sortWithinPartitions("h"))
-
-    def _put(self, level: int, run: DataFrame) -> None:
+    def _put(self, level: int, run: tuple[DataFrame, DataFrame]) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(self.scratch.keep(run))
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            old, both = self.levels[level], None
-            for run in old:
-                both = run if both is None else both.unionByName(run)
-            self.levels[level] = []
-            self._put(level + 1, self.merged(both).sortWithinPartitions("h"))
-            self.scratch.drop(*old)
+            old, self.levels[level] = self.levels[level], []
+            self._put(level + 1, self._merged(old))
+
+    def _merged(self, old: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+        keys, counts = old[0]
+        for more, others in old[1:]:
+            more = more.select("h", F.col("keeper").alias("k"), F.col("n").alias("m"))
+            keys = keys.join(more.hint("merge"), "h", "full_outer").select("h", F.coalesce("keeper", "k").alias("keeper"), F.coalesce("n", "m").alias("n"))
+            others = others.withColumnRenamed("n", "m")
+            counts = counts.join(others.hint("merge"), "h", "full_outer").select("h", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+        out = self._keep(keys), self._keep(counts)
+        self.scratch.drop(*(t for run in old for t in run))
+        return out
+
+    def common(self, least: int) -> DataFrame:
+        """(h, keeper, n) of the keys that ``least`` documents or more hold; the index is gone afterwards."""
+        keys, counts = self._merged([run for level in self.levels for run in level])
+        n = F.col("n") + F.coalesce("m", F.lit(0))
+        found = keys.join(counts.withColumnRenamed("n", "m").hint("merge"), "h", "left").select("h", "keeper", n.alias("n")).where(F.col("n") >= least)
+        found = self.scratch.keep(found)
+        self.scratch.drop(keys, counts)
+        return found
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 40, min_docs: int = 5, batches: int = 3, fanout: int = 2) -> DataFrame:
+#: A digest that more than one line in so many has is hot; there are fewer of them than this number.
+HOT = 1000
+#: Dropped digests of one text that are looked up one by one; more are parted first.
+FEW = 256
+
+
+def _is_gone(digest: Column) -> Column:
+    return F.when(F.size("__ld_gone") <= FEW, F.array_contains("__ld_gone", digest)).otherwise(F.array_contains(F.get("__ld_parts", (F.crc32(digest) % FEW).cast("int")), digest))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2, bucket: int = 2_000_000) -> DataFrame:
     """The input's rows and columns, plus ``line_dedup`` struct<text, n_lines, n_dropped>.
 
     A line's key is the line without white space at its ends and with A-Z lower-cased.  Keys of ``min_chars`` code points
@@ -89,21 +118,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("id", "h", batch.alias("batch"))
     )
     lines = scratch.keep(lines, by=["batch"])
-    index = LineIndex(scratch, fanout)
+    total = lines.count()
+    index = LineIndex(scratch, max(8, -(-total // bucket)), fanout)
     for b in range(len(set(bounds)) + 1):
         index.add(lines.where(F.col("batch") == b).groupBy("h").agg(F.max("id").alias("keeper"), F.count("*").alias("n")))
-    common = index.merged(index.runs()).where(F.col("n") >= min_docs).select("h", "keeper")
-    doomed = (
-        lines.select("id", "h")
-        .join(common, "h")
-        .where(~F.col("id").eqNullSafe(F.col("keeper")))
-        .select(F.col("id").alias("__ld_id"), "h")
-        .groupBy("__ld_id")
-        .agg(F.collect_list("h").alias("__ld_gone"))
-    )
-    doomed = scratch.keep(doomed)
-    all_lines, gone = _lines(text_col), F.col("__ld_gone")
-    stays = lambda x: ~((F.char_length(F.btrim(x, F.lit(WHITE))) >= min_chars) & F.array_contains(gone, digest16(_key(x))))
+    common = index.common(min_docs)
+    is_hot = F.col("n") * HOT > total
+    tagged = lines.select("id", "h").join(F.broadcast(common.where(is_hot).select("h", F.col("keeper").alias("hot"), F.lit(True).alias("is_hot"))), "h", "left")
+    hot = tagged.where(F.col("is_hot") & ~F.col("id").eqNullSafe(F.col("hot"))).select("id", "h")
+    cold = tagged.where(F.col("is_hot").isNull()).select("id", "h").join(common.where(~is_hot).hint("merge"), "h").where(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "h")
+    doomed = hot.unionByName(cold).groupBy(F.col("id").alias("__ld_id")).agg(F.collect_list("h").alias("__ld_gone"))
+    gone = F.col("__ld_gone")
+    parts = F.when(F.size(gone) > FEW, F.transform(F.sequence(F.lit(0), F.lit(FEW - 1)), lambda k: F.filter(gone, lambda h: F.crc32(h) % FEW == k)))
+    doomed = scratch.keep(doomed.withColumn("__ld_parts", parts))  # written, so that no line computes the parts anew
+    scratch.drop(lines, common)
+    all_lines = _lines(text_col)
+    stays = lambda x: ~((F.char_length(F.btrim(x, F.lit(WHITE))) >= min_chars) & _is_gone(digest16(_key(x))))
     kept = F.when(gone.isNull(), all_lines).otherwise(F.filter(all_lines, stays))
     # a merge join at every size: the table of digests to drop grows with the input
     out = docs.drop("line_dedup").join(doomed.hint("merge"), ident.cast("long").eqNullSafe(F.col("__ld_id")), "left")
@@ -115,7 +145,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.size(all_lines).cast("long").alias("n_lines"),
             (F.size(all_lines) - F.size("__ld_kept")).cast("long").alias("n_dropped"),
         ),
-    ).drop("__ld_id", "__ld_gone", "__ld_kept")
+    ).drop("__ld_id", "__ld_gone", "__ld_parts", "__ld_kept")
 
 
 def op1_line_dedup(spark, sf_dir):

@@ -47,6 +47,23 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
     got = line_dedup.dedup_lines(docs(spark, [(1, LONG, 5, "h", "l", "k", 1)] * 2, CLASH))
     assert got.count() == 2 and {"a.b", "h", "line_dedup"} <= set(got.columns)
+    again = line_dedup.dedup_lines(got)
+    assert again.count() == 2 and again.columns.count("line_dedup") == 1
+
+
+def test_line_dedup_needs_its_anti_join(spark, monkeypatch):
+    rows = [(i, f"{LONG}\n{LONG}{i % 4}") for i in range(60)]
+    run = lambda: sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs(spark, rows)).select("doc_id", "line_dedup.*").collect()), key=repr)
+    assert run() == brute_lines(rows)
+    monkeypatch.setattr(line_dedup.LineIndex, "fresh", staticmethod(lambda batch, _: batch))
+    assert run() != brute_lines(rows)
+
+
+def test_line_dedup_of_a_long_text(spark):
+    own = [f"{LONG.strip()} number {i}" for i in range(30_000)]
+    rows = [(i, "\n".join(own) if i in (1, 9) else "\n".join(own[k] for k in range(i, 30_000, 7))) for i in range(1, 10)]
+    got = line_dedup.dedup_lines(docs(spark, rows), min_docs=2).select("doc_id", "line_dedup.*").collect()
+    assert {r.doc_id: r.n_lines - r.n_dropped for r in got}[9] == 30_000 and sum(r.n_lines - r.n_dropped for r in got) == 30_000
 
 
 def test_exact_dedup(spark):
