@@ -1,7 +1,7 @@
 """Language identification of mixed text.
 
 Fitting counts, for each language, the script of its letters and the hashed character n-grams (1 to 3, with word edges) of
-its words, over a bounded sample of labelled rows.  Prediction splits a text into words.  A word's script narrows the
+its words, over a bounded number of whole labelled texts of each language.  Prediction splits a text into words.  A word's script narrows the
 candidates to languages that were seen to use it; each candidate's score is the mean log-probability of the word's
 n-grams times a weight for its length.  Viterbi over the words, with a penalty for each switch, labels spans of one
 language.  The text gets the language whose spans hold the most letters, and their share as its score.
@@ -10,7 +10,8 @@ Words are scored once for each worker; Viterbi advances all texts of a batch tog
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; a script that no language was seen to use
 leaves all candidates; without any labelled row everything is ``und``; ids are not used; repeated rows each get a result;
-an empty table gives an empty result.
+equal scores go to the language that comes first in order; texts of any length are read whole; other columns may have any
+names, ``lang_pred`` and ``lang_score`` are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import read
@@ -74,40 +75,66 @@ class Model:
         return np.where(fine, score, score.min(1, keepdims=True) - 50.0)
 
 
-def fit(labelled: DataFrame, text_col: str, lang_col: str, *, rows: int = 6000, letters: int = 3000) -> Model:
-    """Fits on the ``rows`` labelled texts with the least hashes, equal texts once, and ``letters`` characters of each.
-
-    The bound on the hash is found from hashes alone, so no more than those texts reach the driver.
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, l) to (lang, script, at, n): how often each bucket (script null) and how many letters of each script occur."""
+    words: dict[str, dict[str, int]] = {}
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for lang, own in words.items():
+            gram, owner = _grams([w.lower() for w in own])
+            counts = np.bincount(gram, np.array(list(own.values()), float)[owner], BUCKETS)
+            at = np.flatnonzero(counts)
+            letters: dict[str, float] = {}
+            for w, n in own.items():
+                letters[script(w)] = letters.get(script(w), 0.0) + n * len(w)
+            rows = len(at) + len(letters)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * rows, pa.string()), pa.array([None] * len(at) + list(letters), pa.string()), pa.array([*at.tolist(), *[-1] * len(letters)], pa.int32()), pa.array([*counts[at].tolist(), *letters.values()], pa.float64())],
+                ["lang", "script", "at", "n"],
+            )
+        words.clear()
+
+    for b in batches:
+        for text, lang in zip(b.column(0), b.column(1)):
+            own = words.setdefault(lang.as_py(), {})
+            for w in WORD.findall(text.as_py()):
+                own[w] = own.get(w, 0) + 1
+            if len(own) > 200_000:
+                yield from told()
+    yield from (r for r in told() if r.num_rows)
+
+
+def fit(labelled: DataFrame, text_col: str, lang_col: str, *, rows: int = 1500) -> Model:
+    """Fits on ``rows`` whole texts of each language, those with the least hashes, equal texts once.
+
+    Hashes alone choose them; executors count their n-grams, and BUCKETS numbers of each language reach the driver.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).withColumn("h", F.xxhash64("t"))
-    bound = known.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    few = known.where(F.col("h") <= (bound if bound is not None else 0)).select("h", F.substring("t", 1, letters).alias("t"), "l")
-    got = sorted(few.groupBy("h").agg(F.min(F.struct("l", "t")).alias("x")).select("h", "x.t", "x.l").collect())
-    langs = sorted({r["l"] for r in got})
-    counts = np.zeros((BUCKETS, len(langs)))
-    scripts = np.zeros((len(_NAMES), len(langs)))
-    for k, lang in enumerate(langs):
-        words: dict[str, int] = {}
-        for r in got:
-            if r["l"] == lang:
-                for w in WORD.findall(r["t"]):
-                    words[w] = words.get(w, 0) + 1
-        if words:
-            gram, owner = _grams([w.lower() for w in words])
-            counts[:, k] = np.bincount(gram, np.array(list(words.values()), float)[owner], BUCKETS)
-        for w, n in words.items():
-            scripts[_NAMES.index(script(w)), k] += n * len(w)
-    probs = (counts + 0.05) / (counts.sum(0) + 0.05 * BUCKETS) if langs else counts
+    least = known.select("l", "h").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("rn") <= rows)
+    bounds = {r["l"]: r["h"] for r in least.groupBy("l").agg(F.max("h").alias("h")).collect()}
+    langs = sorted(bounds)
+    if not langs:
+        return Model([], np.zeros((BUCKETS, 0)), {})
+    bound = F.create_map(*[F.lit(x) for kv in bounds.items() for x in kv])
+    few = known.where(F.col("h") <= bound[F.col("l")]).groupBy("h").agg(F.min(F.struct("l", "t")).alias("x")).select("x.t", "x.l")
+    got = few.mapInArrow(_counted, "lang string, script string, at int, n double").groupBy("lang", "script", "at").agg(F.sum("n").alias("n")).collect()
+    counts, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((len(_NAMES), len(langs)))
+    for r in got:
+        if r["script"] is None:
+            counts[r["at"], langs.index(r["lang"])] = r["n"]
+        else:
+            scripts[_NAMES.index(r["script"]), langs.index(r["lang"])] = r["n"]
+    probs = (counts + 0.05) / (counts.sum(0) + 0.05 * BUCKETS)
     share = scripts / np.maximum(scripts.sum(0), 1)
     allowed = {n: share[i] >= 0.01 for i, n in enumerate(_NAMES) if (share[i] >= 0.01).any()}
-    return Model(langs, np.log(probs) if langs else probs, allowed)
+    return Model(langs, np.log(probs), allowed)
 
 
 def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     """The best path of each text's (words x languages) scores; each switch costs penalty."""
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
     sizes = np.array([len(scores[i]) for i in order])
-    paths: list[np.ndarray] = [np.zeros(0, np.int8)] * len(scores)
+    paths: list[np.ndarray] = [np.zeros(0, np.int16)] * len(scores)
     if not len(sizes) or not sizes[0]:
         return paths
     live = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # texts with a word at each place
@@ -115,9 +142,9 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     flat = np.empty((starts[-1], scores[0].shape[1]), np.float32)
     for row, i in enumerate(order):
         flat[starts[: sizes[row]] + row] = scores[i]
-    back = np.empty(flat.shape, np.int8)
+    back = np.empty(flat.shape, np.int16)
     value = flat[: live[0]].copy()
-    every = np.arange(flat.shape[1], dtype=np.int8)
+    every = np.arange(flat.shape[1], dtype=np.int16)
     last = np.zeros(len(order), np.int64)
     last[: live[0]] = value.argmax(1)
     for t in range(1, len(live)):
@@ -130,9 +157,9 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
         value[:n] = np.where(stay, v, top) + flat[starts[t] : starts[t + 1]]
         last[:n] = value[:n].argmax(1)
     for row, i in enumerate(order):
-        paths[i] = np.zeros(sizes[row], np.int8)
+        paths[i] = np.zeros(sizes[row], np.int16)
     state = last
-    walk = np.empty(starts[-1], np.int8)
+    walk = np.empty(starts[-1], np.int16)
     for t in range(len(live) - 1, -1, -1):
         n = live[t]
         walk[starts[t] : starts[t + 1]] = state[:n]
