@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,6 +131,41 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 
+#: Elements of a block: a list that grows in a fold is copied at each step, so it grows within a block, and then by blocks.
+BLOCK = 128
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value being computed once: a lambda that holds an expression would compute it for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def in_blocks(items: Column) -> Column:
+    """array<array<T>>: the items in blocks, none for none."""
+
+    def cut(xs):
+        starts = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)))
+
+    return bound(items, cut)
+
+
+def fold(items: Column, state: Column, element: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """array<element>: step gives the next state and an array of elements for each item in order."""
+    none = F.array().cast(f"array<{element}>")
+
+    def one(acc, x):
+        now, out = step(acc["state"], x)
+        return F.struct(now.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def block(acc, xs):
+        inner = F.aggregate(xs, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return F.struct(inner["state"].alias("state"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+
+    first = F.struct(state.alias("state"), F.array().cast(f"array<array<{element}>>").alias("out"))
+    return F.flatten(F.aggregate(in_blocks(items), first, block, lambda acc: acc["out"]))
+
+
 def row_key(text: Column) -> Column:
     """Tells rows with the same id apart: 64 bits of the text (null as empty)."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))

@@ -2,7 +2,7 @@
 
 Base spans come from strict patterns and always stay.  Wider patterns propose more candidates.  Three labelers vote
 (-1, 0, 1) on each candidate: a regex labeler on its form, a gazetteer labeler on its parts, a context labeler on the
-words before it.  The votes of all documents are counted by pattern of votes, a table with a fixed number of rows
+words between the match before and it.  The votes of all documents are counted by pattern of votes, a table with a fixed number of rows
 (kinds x 27 x shapes), so the expectation-maximisation that estimates each labeler's reliabilities, and the logistic span
 classifier trained on its posteriors, see the whole corpus without gathering it.  Candidates that the classifier accepts
 are added to the base spans.
@@ -10,8 +10,9 @@ are added to the base spans.
 The patterns only use possessive loops over disjoint classes and look-behinds at the start of a run, so long runs of
 letters or digits cost linear time and no stack.  Positions are code points, rebuilt from the gaps between matches.
 
-Defined cases: null text is empty; documents without matches have no spans; repeated rows each get a result; an empty
-table gives an empty result; the columns ``pii`` and ``pii_spans`` in the input are replaced.
+Defined cases: null text is empty; documents without matches have no spans; a text may have any length and any number of
+matches, whose lists grow in blocks; of wide candidates at one place all stay; repeated rows each get a result; an empty
+table gives an empty result; other columns may have any names, ``pii`` and ``pii_spans`` are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read, text_or_empty
+from .common import Scratch, bound, fold, in_blocks, read, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone"]
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -40,12 +41,13 @@ WIDE = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,14}+(?![ -]?[0-9])",
     "phone": r"(?<![0-9+])(?<![0-9)][ .-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])(?![ .-][0-9])",
 }
-#: Words of the context labeler, in the 40 characters before a candidate.
+#: Words of the context labeler, in the 40 characters before a candidate, since the match before.
 CONTEXT = {"email": "mail|contact|write|reach", "ip": "ip|address|host|server|login", "card": "card|visa|credit|payment|pay", "phone": "phone|tel|call|mobile|fax|contact"}
 #: Gazetteers: endings of mail domains, prefixes of card issuers, ranges of area codes, prefixes of global addresses.
 GAZETTEER = {"email": r"(?i)(com|org|net|edu|gov|io|de|fr|es|uk)$", "ip": r"(?i)^(2[0-9a-f]{3}|3[0-9a-f]{3}|fe80|fc|fd)|^[1-9]", "card": r"^(4|5[1-5]|2[2-7]|3[47]|36|6011|65)", "phone": r"^(\+[1-9]|\(?[2-9][0-9]{2})"}
-_SPAN = "array<struct<start:int,end:int,m:string>>"
+_SPAN = "struct<start:int,end:int,m:string,before:string>"
 _CAND = "array<struct<kind:string,start:int,end:int,base:boolean,key:string>>"
+_PLACED = "struct<start:int,wide:boolean,c:struct<kind:string,start:int,end:int,base:boolean,key:string>>"
 
 
 def _digits(c: Column) -> Column:
@@ -63,16 +65,15 @@ def luhn(digits: Column) -> Column:
 
 
 def _found(text: Column, matches: Column, pattern: str) -> Column:
-    """Spans of the matches: the text's gaps give the places."""
-    gaps = F.split(text, pattern, -1)
+    """Spans of the matches: the text's gaps give the places.  Each comes with the end of the gap before it."""
+    sized = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(matches)).alias("gap"), matches.alias("m"))
 
-    def step(acc, x):
-        start = acc["pos"] + F.char_length(F.get(acc["gaps"], F.size(acc["out"])))
-        end = start + F.char_length(x)
-        return F.struct(end.alias("pos"), acc["gaps"].alias("gaps"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x.alias("m")))).alias("out"))
+    def step(at, x):
+        start = at + F.char_length(x["gap"])
+        end = start + F.char_length(x["m"])
+        return end, F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), F.right(x["gap"], F.lit(40)).alias("before")))
 
-    first = F.struct(F.lit(0).alias("pos"), gaps.alias("gaps"), F.array().cast(_SPAN).alias("out"))
-    return F.when(F.size(matches) > 0, F.aggregate(matches, first, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    return F.when(F.size(matches) > 0, fold(sized, F.lit(0), _SPAN, step)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -90,8 +91,8 @@ def _shape(kind: str, m: Column) -> Column:
     return F.concat(F.when(m.rlike("[ .()-]"), F.lit("s")).otherwise(F.lit("j")), F.least(F.length(_digits(m)) / 4, F.lit(4)).cast("int").cast("string"))
 
 
-def _candidate(kind: str, base: bool, text: Column, x: Column) -> Column:
-    m, before = x["m"], F.lower(F.substr(text, F.greatest(x["start"] - 39, F.lit(1)), F.least(x["start"], F.lit(40))))
+def _candidate(kind: str, base: bool, x: Column) -> Column:
+    m, before = x["m"], F.lower(x["before"])
     form = F.lit(1)
     if not base:
         form = {"email": F.when(m.rlike(r"(?i)dot|\."), 1).otherwise(-1), "ip": F.lit(1), "card": F.when(luhn(_digits(m)), 1).otherwise(-1), "phone": F.when(m.rlike(r"^\(?[2-9]"), 1).otherwise(-1)}[kind]
@@ -104,8 +105,24 @@ def _checker(kind: str):
     return lambda x: _valid(kind, x["m"])
 
 
-def _proposer(kind: str, base: bool, text: Column):
-    return lambda x: _candidate(kind, base, text, x)
+def _proposer(kind: str, base: bool):
+    return lambda x: _candidate(kind, base, x)
+
+
+def _free(base: Column, wide: Column) -> Column:
+    """The wide candidates that no base span overlaps: one walk by falling, one by rising place."""
+    placed = F.array_sort(F.transform(F.concat(base, wide), lambda c: F.struct(c["start"].alias("start"), (~c["base"]).alias("wide"), c.alias("c"))))
+    some = lambda keep, x: F.when(keep, F.array(x)).otherwise(F.array().cast(f"array<{_PLACED}>"))
+
+    def right(end, x):
+        return F.when(x["wide"], end).otherwise(F.greatest(end, x["c"]["end"])), some(~x["wide"] | (x["start"] >= end), x)
+
+    def left(start, x):
+        return F.when(x["wide"], start).otherwise(F.least(start, x["start"])), some(~x["wide"] | (x["c"]["end"] <= start), x)
+
+    clear = fold(F.reverse(fold(placed, F.lit(0), _PLACED, right)), F.lit(2**31 - 1), _PLACED, left)
+    found = F.transform(F.filter(F.reverse(clear), lambda x: x["wide"]), lambda x: x["c"])
+    return F.when(F.size(wide) > 0, found).otherwise(F.array().cast(_CAND))
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -121,11 +138,11 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumns({name(*x): F.when(asks[x], F.regexp_extract_all(text, F.lit(patterns[x]), F.lit(0))).otherwise(none) for x in asks})
     df = df.withColumns({name(*x): _found(text, F.col(name(*x)), patterns[x]) for x in asks})
     df = df.withColumns({name(k, True): F.filter(name(k, True), _checker(k)) for k in KINDS})
-    base = F.concat(*[F.transform(name(k, True), _proposer(k, True, text)) for k in KINDS]).cast(_CAND)
+    base = F.concat(*[F.transform(name(k, True), _proposer(k, True)) for k in KINDS]).cast(_CAND)
     df = df.withColumn("__base", base)
-    wide = F.concat(*[F.transform(name(k, False), _proposer(k, False, text)) for k in KINDS]).cast(_CAND)
-    free = F.filter(wide, lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return df.withColumn("pii", F.concat("__base", free)).drop("__t", "__d", "__base", *[name(*x) for x in asks])
+    wide = F.concat(*[F.transform(name(k, False), _proposer(k, False)) for k in KINDS]).cast(_CAND)
+    df = df.withColumn("__wide", wide)
+    return df.withColumn("pii", F.concat("__base", _free(F.col("__base"), F.col("__wide")))).drop("__t", "__d", "__base", "__wide", *[name(*x) for x in asks])
 
 
 def vote_counts(found: DataFrame) -> dict[tuple[str, ...], int]:
@@ -196,13 +213,23 @@ def detect(docs: DataFrame, text_col: str = "text", *, carry_text: bool = True,
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; of overlapping spans the first one counts."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    none = F.array().cast("array<struct<since:int,start:int,end:int,kind:string>>")
+
+    def step(at, s):
+        one = F.array(F.struct(at.alias("since"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+        return F.greatest(at, s["end"] * (s["start"] >= at).cast("int")), F.when(s["start"] >= at, one).otherwise(none)
+
+    name = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+    # the text of a block of spans is taken once, and their gaps from it: a place far on costs a walk from the start
+    own = lambda xs: F.struct(xs.alias("xs"), xs[0]["since"].alias("lo"), F.substr(text, xs[0]["since"] + 1, F.element_at(xs, -1)["end"] - xs[0]["since"]).alias("t"))
+    part = lambda b: F.array_join(F.transform(b["xs"], lambda s: F.concat(F.substr(b["t"], s["since"] - b["lo"] + 1, s["start"] - s["since"]), name(s))), "")
 
-    def step(acc, s):
-        gap = F.substr(text, acc["pos"] + 1, s["start"] - acc["pos"])
-        return F.when(s["start"] < acc["pos"], acc).otherwise(F.struct(s["end"].alias("pos"), F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out")))
+    def whole(kept):
+        body = F.array_join(F.transform(F.transform(in_blocks(kept), own), part), "")
+        return F.concat(body, F.substr(text, F.element_at(kept, -1)["end"] + 1, F.char_length(text)))
 
-    first = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    return F.when(F.size(spans) > 0, F.aggregate(order, first, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1, F.char_length(text))))).otherwise(text)
+    kept = fold(order, F.lit(0), "struct<since:int,start:int,end:int,kind:string>", step)
+    return F.when(F.size(spans) > 0, bound(kept, whole)).otherwise(text)
 
 
 def _text(spans: Column) -> Column:

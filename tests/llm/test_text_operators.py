@@ -111,6 +111,29 @@ def test_pii_adds_and_masks(spark):
     assert pii.detect(docs(spark, [(1, "a@b.co", 5, "h", "l", "k", 1)], CLASH)).count() == 1
 
 
+def test_pii_of_many_matches(spark):
+    mails, mixed = "a.b@c.de " * 100_000, "x@y.zz 212-555-0199, " * 20_000
+    got = pii.detect(docs(spark, [(1, mails), (2, mixed), (2, mixed)])).select("doc_id", "pii_spans", pii.masked(F.col("text"), F.col("pii_spans")).alias("m")).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == 3 and [(s["start"], s["end"]) for s in by[1].pii_spans] == [(9 * k, 9 * k + 8) for k in range(100_000)]
+    assert by[1].m == "[EMAIL] " * 100_000 and by[2].m == "[EMAIL] [PHONE], " * 20_000
+
+
+def test_pii_added_spans_against_brute_force(spark):
+    rng = random.Random(8)
+    parts = ["212-555-0199", "(212) 555 0199", "a [at] b dot com", "a[at]b.com", "4111 1111 1111 111", "3782 822463 10005", "2001:db8:0:0:0:0:0:1", "x@y.zz", "10.0.0.1", "call ", "card ", " ", ", ", "word", "\n", "+1 212 555 0199"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(150)]
+    for r in pii.candidates(docs(spark, list(enumerate(texts)))).collect():
+        base = {(c["kind"], c["start"], c["end"]) for c in r.pii if c["base"]}
+        wide = set()
+        for kind, p in pii.WIDE.items():
+            if kind == "email" and not re.search(r"[\[(]at[\])]", r.text.lower()) or kind == "ip" and ":" not in r.text:
+                continue
+            wide |= {(kind, *m.span()) for m in re.finditer(p, r.text)}
+        free = {w for w in wide if not any(b[1] < w[2] and w[1] < b[2] for b in base)}
+        assert {(c["kind"], c["start"], c["end"]) for c in r.pii if not c["base"]} == free, r.text
+
+
 def brute_fingerprint(t):
     import xxhash
 
