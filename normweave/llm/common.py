@@ -166,6 +166,25 @@ def fold(items: Column, state: Column, element: str, step: Callable[[Column, Col
     return F.flatten(F.aggregate(in_blocks(items), first, block, lambda acc: acc["out"]))
 
 
+def spliced(text: Column, pieces: Column) -> Column:
+    """The text with each piece (struct<since,start,end,by>: end of the piece before, its places, what replaces it) replaced, in order.
+
+    The text of a block of pieces is taken once, and their gaps from it: a place far on costs a walk from the start.
+    """
+
+    def own(xs):
+        return F.struct(xs.alias("xs"), xs[0]["since"].alias("lo"), F.substr(text, (xs[0]["since"] + 1).cast("int"), (F.element_at(xs, -1)["end"] - xs[0]["since"]).cast("int")).alias("t"))
+
+    def part(b):
+        return F.array_join(F.transform(b["xs"], lambda s: F.concat(F.substr(b["t"], (s["since"] - b["lo"] + 1).cast("int"), (s["start"] - s["since"]).cast("int")), s["by"])), "")
+
+    def whole(kept):
+        body = F.array_join(F.transform(F.transform(in_blocks(kept), own), part), "")
+        return F.when(F.size(kept) > 0, F.concat(body, F.substr(text, (F.element_at(kept, -1)["end"] + 1).cast("int"), F.char_length(text)))).otherwise(text)
+
+    return bound(pieces, whole)
+
+
 def row_key(text: Column) -> Column:
     """Tells rows with the same id apart: 64 bits of the text (null as empty)."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))

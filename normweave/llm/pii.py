@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound, fold, in_blocks, read, text_or_empty
+from .common import Scratch, fold, read, spliced, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone"]
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -213,23 +213,13 @@ def detect(docs: DataFrame, text_col: str = "text", *, carry_text: bool = True,
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; of overlapping spans the first one counts."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    none = F.array().cast("array<struct<since:int,start:int,end:int,kind:string>>")
+    piece = "struct<since:int,start:int,end:int,by:string>"
 
     def step(at, s):
-        one = F.array(F.struct(at.alias("since"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-        return F.greatest(at, s["end"] * (s["start"] >= at).cast("int")), F.when(s["start"] >= at, one).otherwise(none)
+        one = F.array(F.struct(at.alias("since"), s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by")))
+        return F.when(s["start"] >= at, s["end"]).otherwise(at), F.when(s["start"] >= at, one).otherwise(F.array().cast(f"array<{piece}>"))
 
-    name = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-    # the text of a block of spans is taken once, and their gaps from it: a place far on costs a walk from the start
-    own = lambda xs: F.struct(xs.alias("xs"), xs[0]["since"].alias("lo"), F.substr(text, xs[0]["since"] + 1, F.element_at(xs, -1)["end"] - xs[0]["since"]).alias("t"))
-    part = lambda b: F.array_join(F.transform(b["xs"], lambda s: F.concat(F.substr(b["t"], s["since"] - b["lo"] + 1, s["start"] - s["since"]), name(s))), "")
-
-    def whole(kept):
-        body = F.array_join(F.transform(F.transform(in_blocks(kept), own), part), "")
-        return F.concat(body, F.substr(text, F.element_at(kept, -1)["end"] + 1, F.char_length(text)))
-
-    kept = fold(order, F.lit(0), "struct<since:int,start:int,end:int,kind:string>", step)
-    return F.when(F.size(spans) > 0, bound(kept, whole)).otherwise(text)
+    return F.when(F.size(spans) > 0, spliced(text, fold(order, F.lit(0), piece, step))).otherwise(text)
 
 
 def _text(spans: Column) -> Column:
