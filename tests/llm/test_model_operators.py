@@ -144,19 +144,35 @@ def test_quality(spark):
     assert quality.score(df.where("false"), model).count() == 0
 
 
+def brute_topk(rows, k=5, every=50):
+    width = max(len(v) for _, v in rows)
+    good = [(i, np.pad(np.floor(256 * np.array(v, np.float32).astype(float)), (0, width - len(v))).astype(int)) for i, v in rows]
+    out = []
+    for q, x in {(i, tuple(x)) for i, x in good if i % every == 0}:
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted((-int(np.array(x) @ v), i) for i, v in good if i != q)[:k])]
+    return sorted(out)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
-    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(400, None), (401, [None] * 8), (402, [float("nan")] * 8), (450, [0.1] * 8), (451, [0.1] * 8), (452, [0.1] * 8), (450, [0.2] * 8)]
+    bad = [(400, None), (401, [None] * 8), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (404, [])]
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(450, [0.1] * 8), (451, [0.1] * 8), (452, [0.1] * 8), (450, [0.2] * 8), (450, [0.2] * 8), (500, [0.5, -3.0]), (7, [9.0])]
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows + bad], "vec_id long, embedding array<float>, id string, score double")
+    got = lambda d, **how: sorted(tuple(r) for r in topk.top_k(d, "vec_id", "embedding", **how).collect())
+    assert got(df, pivots=16, chunk=20, ask=3) == got(df) == brute_topk(rows)
+    assert got(df.where("false")) == [] and len(got(df.where("vec_id IN (50, 51)"))) == 1
+    doubles = spark.createDataFrame([(50 * i, [0.001 * i, 1e9 + i / 7]) for i in range(9)], "vec_id long, embedding array<double>")
+    assert len(got(doubles)) == 45
+
+
+def test_topk_prunes_clustered_vectors(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 16)) * 4
+    rows = [(i, [float(x) for x in centres[i % 30] + rng.normal(size=16) * 0.05]) for i in range(3000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    good = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i not in (400, 401, 402)]
-    want = set()
-    for q, x in [g for g in good if g[0] % 50 == 0 and g[0] != 450]:
-        best5 = sorted((-int(x @ v), i) for i, v in good if i != q)[:5]
-        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best5)}
-    got = {tuple(r) for r in topk.top_k(df, "vec_id", "embedding", pivots=16, chunk=20).where("query_id <> 450").collect()}
-    assert got == want
-    assert topk.top_k(df.where("false"), "vec_id", "embedding").count() == 0
-    assert topk.top_k(df.where("vec_id IN (50, 51)"), "vec_id", "embedding").count() == 1
+    out, counts = topk.routed(df, "vec_id", "embedding", k=5, every=50, pivots=None, chunk=100, ask=65536)
+    assert sorted(tuple(r) for r in out.collect()) == brute_topk(rows)
+    assert counts["queries"] == 60 and counts["sent"] <= 0.3 * counts["queries"] * counts["groups"]
 
 
 def test_components(spark):
