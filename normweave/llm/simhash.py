@@ -322,7 +322,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     long fingerprints pass the pigeonring chains (sets of ``FEW`` shingles or less go without); all that is settled inside
     the join of the bucket, before anything is sent.  Each candidate's whole sets are then compared.  A bucket is worked in
     turns: the smallest vertex, the one that shares most buckets (the original of many copies) and, from the second turn on,
-    a share of the others that grows sixteenfold are compared with all members of other components, and leave.  A
+    a growing share of those outside that one's component are compared with all members of other components, and leave.  A
     bucket is done when one component holds what is left, so every pair of it was connected or compared.  Buckets of more
     than ``block`` members are dealt in parts, each of which meets a copy of the anchors.
     """
@@ -364,8 +364,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         buckets = scratch.keep(buckets.where("lo <> hi").select("key", "n", "one", "hub", F.ceil(F.col("n") / block).cast("int").alias("parts")))
         if buckets.isEmpty():
             break
-        drawn = F.pmod(F.xxhash64("v", "key"), F.lit(1 << 30)) * F.col("n") < F.lit(float((16**turn - 1) << 30))
-        marked = left.join(buckets.select("key", "n", "parts", F.col("one.v").alias("one"), F.col("hub.v").alias("hub")).hint("merge"), "key")
+        # the hub's component is the large one of a bucket: its members are met by the others and need not meet them
+        drawn = (F.col("root") != F.col("most")) & (F.pmod(F.xxhash64("v", "key"), F.lit(1 << 30)) * F.col("n") < F.lit(float((64**turn - 1) << 30)))
+        marked = left.join(buckets.select("key", "n", "parts", F.col("one.v").alias("one"), F.col("hub.v").alias("hub"), F.col("hub.root").alias("most")).hint("merge"), "key")
         marked = scratch.keep(marked.select("key", *sketched, "degree", "root", "parts", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), ((F.col("v") == F.col("one")) | (F.col("v") == F.col("hub")) | drawn).alias("anchor")))
         scratch.drop(left, buckets)
         anchors = marked.where("anchor").select("key", *[F.col(c).alias(f"b_{c}") for c in (*sketched, "root")], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
