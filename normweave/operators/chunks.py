@@ -57,6 +57,14 @@ def neighbours(chunks: DataFrame, around: int = 1) -> DataFrame:
     return asked.join(chunks.select("doc_id", F.col("chunk_index").alias("near"), F.col("content").alias("near_content")), ["doc_id", "near"])
 
 
+def with_context(hits: DataFrame, chunks: DataFrame, around: int = 1) -> DataFrame:
+    """Hits (doc_id, chunk_index) with ``content``: the hit's chunk and those beside it, in order, with blank lines between."""
+    asked = hits.select("doc_id", "chunk_index", F.explode(F.sequence(F.col("chunk_index") - around, F.col("chunk_index") + around)).alias("near"))
+    met = asked.join(chunks.select("doc_id", F.col("chunk_index").alias("near"), "content"), ["doc_id", "near"])
+    text = F.transform(F.array_sort(F.collect_list(F.struct("near", "content"))), lambda x: x["content"])
+    return met.groupBy("doc_id", "chunk_index").agg(F.array_join(text, "\n\n").alias("content"))
+
+
 def section_chunks(sections: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
     """(chunk_id, doc_id, type, section_number, content) from sections (doc_id, seq, number, content)."""
     keyed = sections.select(F.xxhash64("doc_id", "seq").alias("key"), "doc_id", "number", "content")

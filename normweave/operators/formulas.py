@@ -44,7 +44,7 @@ def variable_definitions(docs: DataFrame) -> DataFrame:
     def rows(k: int, p: str):
         groups = [extract_all(F.col("text"), p, g) for g in ((1, 2, 3) if p.count("([^)]+)") and p.count("([^(]+)") else (1, 2))]
         unit = groups[2] if len(groups) == 3 else F.transform(groups[0], lambda _: F.lit(None).cast("string"))
-        return F.transform(F.arrays_zip(groups[0].alias("s"), groups[1].alias("d"), unit.alias("u")), lambda x, i: F.struct((F.lit(k * 100_000) + i).alias("ord"), x["s"].alias("symbol"), x["d"].alias("name"), x["u"].alias("unit")))
+        return F.transform(F.arrays_zip(groups[0].alias("s"), groups[1].alias("d"), unit.alias("u")), lambda x, i: F.struct(F.struct(F.lit(k).alias("pattern"), i.alias("pos")).alias("ord"), x["s"].alias("symbol"), x["d"].alias("name"), x["u"].alias("unit")))
 
     out = docs.select("doc_id", F.explode(F.concat(*[rows(k, p) for k, p in enumerate(DEFINITIONS)])).alias("d")).select("doc_id", "d.*")
     out = out.withColumn("name", strip("name"))

@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder; one of our own only where the session names none."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="normweave-"))
+        folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="normweave-"))
     return df.checkpoint()
 
 
@@ -60,26 +63,25 @@ def reachable(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
     front = seen
     for d in range(1, depth + 1):
         new = front.join(hop, front.node_id == hop.src).select("start", F.col("dst").alias("node_id")).distinct()
-        front = _checkpoint(new.join(seen, ["start", "node_id"], "left_anti").withColumn("distance", F.lit(d)))
+        front = checkpoint(new.join(seen, ["start", "node_id"], "left_anti").withColumn("distance", F.lit(d)))
         seen = seen.unionByName(front)
     return seen.where("distance > 0")
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, longest: int = 50) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     """One row (path) or none: the shortest directed path; of equals the least in order of its nodes."""
     hop = edges.select("src", "dst").distinct()
     front = edges.sparkSession.createDataFrame([(source, [source])], "node_id string, path array<string>")
     seen = front.select("node_id")
-    for _ in range(longest):
+    while True:
         hit = front.where(F.col("node_id") == target)
         if not hit.isEmpty():
             return hit.select("path")
         step = front.join(hop, front.node_id == hop.src).select(F.col("dst").alias("node_id"), F.concat("path", F.array("dst")).alias("path"))
-        front = _checkpoint(step.groupBy("node_id").agg(F.min("path").alias("path")).join(seen, "node_id", "left_anti"))
+        front = checkpoint(step.groupBy("node_id").agg(F.min("path").alias("path")).join(seen, "node_id", "left_anti"))
         if front.isEmpty():
             return front.select("path")
-        seen = _checkpoint(seen.unionByName(front.select("node_id")))
-    return front.where("false").select("path")
+        seen = checkpoint(seen.unionByName(front.select("node_id")))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -88,13 +90,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Labels move to neighbours and then jump along to their own label, so the rounds grow with the logarithm of the diameter.
     """
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct()
-    both = _checkpoint(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = _checkpoint(nodes.select("node_id", F.col("node_id").alias("component")).distinct())
+    both = checkpoint(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = checkpoint(nodes.select("node_id", F.col("node_id").alias("component")).distinct())
     while True:
         near = both.join(label, both.b == label.node_id).groupBy("a").agg(F.min("component").alias("least"))
         new = label.join(near, label.node_id == near.a, "left").select("node_id", F.least("component", "least").alias("component"))
         jump = new.select(F.col("node_id").alias("at"), F.col("component").alias("beyond"))
-        new = _checkpoint(new.join(jump, new.component == jump.at, "left").select("node_id", F.least("component", "beyond").alias("component")))
+        new = checkpoint(new.join(jump, new.component == jump.at, "left").select("node_id", F.least("component", "beyond").alias("component")))
         moved = new.join(label.withColumnRenamed("component", "old"), "node_id").where("component <> old")
         if moved.isEmpty():
             return new
@@ -139,8 +141,13 @@ def subgraph(edges: DataFrame, keep: DataFrame) -> DataFrame:
     return edges.join(keep.select(F.col("node_id").alias("src")), "src", "left_semi").join(keep.select(F.col("node_id").alias("dst")), "dst", "left_semi")
 
 
-#: Colours of node types for views outside this engine.
-COLOURS = {"document": "#1f77b4", "section": "#2ca02c", "table": "#ff7f0e", "formula": "#d62728", "concept": "#9467bd", "variable": "#8c564b", "rule": "#e377c2", "unknown": "#7f7f7f"}
+#: Colours of node types.  Fixed values; other types have none.
+COLOURS = {"document": "#FF6B6B", "section": "#4ECDC4", "table": "#45B7D1", "formula": "#96CEB4", "concept": "#DDA0DD", "variable": "#FFD93D", "rule": "#FF8C94"}
+
+
+def coloured(nodes: DataFrame) -> DataFrame:
+    """The nodes plus ``colour``."""
+    return nodes.withColumn("colour", F.element_at(F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv]), F.col("node_type")))
 
 
 def export(nodes: DataFrame, edges: DataFrame, form: str = "json") -> DataFrame:
@@ -155,7 +162,7 @@ def export(nodes: DataFrame, edges: DataFrame, form: str = "json") -> DataFrame:
     label = '<data key="label">%s</data></node>' if form == "graphml" else ""
     node = F.format_string('<node id="%s">' + label, xml("node_id"), xml("label")) if form == "graphml" else F.format_string('<node id="%s" label="%s"/>', xml("node_id"), xml("label"))
     a = nodes.select(F.lit("node").alias("part"), F.col("node_id").alias("ord"), node.alias("text"))
-    b = edges.select(F.lit("edge").alias("part"), F.lpad(F.col("edge_seq").cast("string"), 20, "0").alias("ord"), F.format_string('<edge id="%d" source="%s" target="%s"/>', "edge_seq", xml("src"), xml("dst")).alias("text"))
+    b = edges.select(F.lit("edge").alias("part"), F.lpad(F.col("edge_seq").cast("string"), 20, "0").alias("ord"), F.format_string('<edge id="%s" source="%s" target="%s"/>', F.col("edge_seq").cast("string"), xml("src"), xml("dst")).alias("text"))
     return a.unionByName(b)
 
 
@@ -203,4 +210,6 @@ def with_edge_seq(edges: DataFrame) -> DataFrame:
     One global counter would take one task; order is only compared among the edges of a node's neighbourhood.
     """
     w = Window.partitionBy("doc_id").orderBy("part", "o", "src", "dst")
-    return edges.withColumn("edge_seq", F.col("doc_id").cast("long") * 1_000_000 + F.row_number().over(w)).select("edge_seq", "src", "dst", "edge_type")
+    number = "decimal(20,0)"
+    doc = F.col("doc_id") if edges.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64("doc_id")
+    return edges.withColumn("edge_seq", doc.cast(number) * F.lit(10**12).cast("decimal(13,0)") + F.row_number().over(w)).select("edge_seq", "src", "dst", "edge_type")

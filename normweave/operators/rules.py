@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import CONDITIONS, RULE_TYPES, RULES
 from ..functions.text import extract_all, numeric, sentences, strip, value_and_unit
 
+_HIT = "array<struct<pattern:int,pos:int,rule_type:string,source_text:string,g1:string,g2:string>>"
 _COND = "array<struct<variable:string,op:string,num:double,str:string,unit:string>>"
 
 
-def _hits(sentence: Column, k: int) -> Column:
+#: For each rule pattern words (lower case) of which every match holds one, by their order in ``RULES``.
+WORDS = [
+    ["then"], ["when"], ["where"],
+    ["shall", "must"], ["required"], ["mandatory"],
+    ["exceed"], ["maximum"], ["minimum"], ["≤", "<"], ["≥", ">"],
+    ["="], ["calculate"], ["determined"],
+    ["verify"], ["check"], ["ensure"],
+    ["refer"], ["section"], ["accordance"],
+]
+
+
+def _hits(sentence: Column, low: Column, k: int) -> Column:
+    """A sentence without a pattern's words costs no pattern: several go back over the sentence from each start."""
+    kind, pattern, groups = RULES[k]
+    some = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in WORDS[k]])
+    return F.when(some, _matched(sentence, k)).otherwise(F.array().cast(_HIT))
+
+
+def _matched(sentence: Column, k: int) -> Column:
     kind, pattern, groups = RULES[k]
     cols = [extract_all(sentence, pattern, g).alias(f"g{g}") for g in range(0, groups + 1)]
     null = F.lit(None).cast("string")
@@ -38,7 +59,8 @@ def extract_rules(docs: DataFrame) -> DataFrame:
     Sentences by types by patterns by matches, in that order; a sentence ends at any of . ! ?, so decimals split too.
     """
     rows = docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("sentence_no", "sentence"))
-    rows = rows.select("doc_id", "sentence_no", F.explode(F.concat(*[_hits(F.col("sentence"), k) for k in range(len(RULES))])).alias("m")).select("doc_id", "sentence_no", "m.*")
+    rows = rows.withColumn("low", F.lower("sentence"))
+    rows = rows.select("doc_id", "sentence_no", F.explode(F.concat(*[_hits(F.col("sentence"), F.col("low"), k) for k in range(len(RULES))])).alias("m")).select("doc_id", "sentence_no", "m.*")
     w = Window.partitionBy("doc_id").orderBy("sentence_no", "pattern", "pos")
     is_ = lambda *kinds: F.col("rule_type").isin(*kinds)
     low = F.lower("source_text")

@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import HEADERS, REFERENCES
 from ..functions.text import extract_all, section_key, strip
-
-MAX_LEVEL = 12
-
+from .graph import checkpoint
 
 def raw_text(pages: DataFrame) -> DataFrame:
     """(doc_id, raw_text, total_pages): pages joined in order."""
@@ -51,11 +49,17 @@ def sections(pages: DataFrame) -> DataFrame:
 
 
 def with_parents(found: DataFrame) -> DataFrame:
-    """The parent is the nearest earlier section of a smaller level: the latest of the last sections of each such level."""
-    before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.when(F.lit(k) < F.col("level"), F.last(F.when(F.col("level") == k, F.col("seq")), True).over(before)) for k in range(1, MAX_LEVEL + 1)]
-    out = found.withColumn("parent_seq", F.greatest(*last))
-    return out.withColumn("is_root", F.col("parent_seq").isNull())
+    """The parent is the nearest earlier section of a smaller level: of a stack of open sections, those of smaller levels stay."""
+    rows = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "level"))).alias("rows"))
+
+    def step(acc, x):
+        still = F.filter(acc["open"], lambda s: s["level"] < x["level"])
+        parent = F.get(still, F.size(still) - 1)["seq"]
+        return F.struct(F.concat(still, F.array(x)).alias("open"), F.concat(acc["out"], F.array(F.struct(x["seq"].alias("seq"), parent.alias("parent_seq")))).alias("out"))
+
+    first = F.struct(F.array().cast("array<struct<seq:int,level:int>>").alias("open"), F.array().cast("array<struct<seq:int,parent_seq:int>>").alias("out"))
+    parents = rows.select("doc_id", F.inline(F.aggregate("rows", first, step, lambda acc: acc["out"])))
+    return found.join(parents, ["doc_id", "seq"]).withColumn("is_root", F.col("parent_seq").isNull())
 
 
 def lookup(found: DataFrame) -> DataFrame:
@@ -79,24 +83,49 @@ def hierarchy(found: DataFrame) -> DataFrame:
     return known.join(parent, ["doc_id", "number"], "left")
 
 
-def full_paths(tree: DataFrame, depth: int = MAX_LEVEL) -> DataFrame:
-    """(doc_id, number, path): ``number title > number title`` from the root; a parent is a shorter prefix, so depth bounds it."""
-    label = F.concat_ws(" ", "number", "title")
-    up = tree.select(F.col("doc_id").alias("p_doc"), F.col("number").alias("p_number"), F.col("parent_number").alias("p_up"), label.alias("p_label"))
-    now = tree.select("doc_id", "number", label.alias("path"), F.col("parent_number").alias("up"))
-    for _ in range(depth - 1):
-        joined = now.join(up, (F.col("doc_id") == F.col("p_doc")) & (F.col("up") == F.col("p_number")), "left")
-        now = joined.select("doc_id", "number", F.when(F.col("p_label").isNotNull(), F.concat_ws(" > ", "p_label", "path")).otherwise(F.col("path")).alias("path"), F.col("p_up").alias("up"))
-    return now.select("doc_id", "number", "path")
+def ancestors(known: DataFrame) -> DataFrame:
+    """(doc_id, number, ancestor, label, depth): each dotted prefix that is a section, the section itself included."""
+    parts = F.split("number", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), ".").alias("ancestor")))
+    asked = known.select("doc_id", "number", F.explode(prefixes).alias("p")).select("doc_id", "number", "p.*")
+    return asked.join(known.select("doc_id", F.col("number").alias("ancestor"), F.concat_ws(" ", "number", "title").alias("label")), ["doc_id", "ancestor"])
+
+
+def full_paths(tree: DataFrame) -> DataFrame:
+    """(doc_id, number, path): ``number title > number title`` from the root, of any depth: parents are shorter prefixes."""
+    line = F.transform(F.array_sort(F.collect_list(F.struct("depth", "label"))), lambda x: x["label"])
+    return ancestors(tree).groupBy("doc_id", "number").agg(F.array_join(line, " > ").alias("path"))
+
+
+def find_node(tree: DataFrame, number: str) -> DataFrame:
+    """The rows of the section with a number, one for each document that has it."""
+    return tree.where(F.col("number") == number)
+
+
+def hierarchy_issues(tree: DataFrame) -> DataFrame:
+    """(doc_id, number): sections whose chain of parents never ends, because it runs into itself.
+
+    Chains double their length in each round, so the rounds grow with the logarithm of the depth.
+    """
+    up = tree.select("doc_id", "number", F.col("parent_number").alias("up"))
+    now, rounds = up, 1
+    while not (far := now.where("up IS NOT NULL")).isEmpty():
+        if 2**rounds > tree.count():
+            return far.select("doc_id", "number")
+        step = now.select("doc_id", F.col("number").alias("up"), F.col("up").alias("beyond"))
+        now = checkpoint(now.join(step, ["doc_id", "up"], "left").select("doc_id", "number", F.col("beyond").alias("up")))
+        rounds += 1
+    return far.select("doc_id", "number")
 
 
 def node_context(tree: DataFrame) -> DataFrame:
-    """(doc_id, number, parent_number, siblings, children)."""
+    """(doc_id, number, parent_number, ancestors from the root, siblings, children)."""
     kids = tree.where("parent_number IS NOT NULL").groupBy("doc_id", F.col("parent_number").alias("number")).agg(F.array_sort(F.collect_list(F.col("number"))).alias("children"))
     family = kids.select("doc_id", F.col("number").alias("parent_number"), F.col("children").alias("family"))
-    out = tree.join(kids, ["doc_id", "number"], "left").join(family, ["doc_id", "parent_number"], "left")
+    over = ancestors(tree).where("ancestor <> number").groupBy("doc_id", "number").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "ancestor"))), lambda x: x["ancestor"]).alias("ancestors"))
+    out = tree.join(kids, ["doc_id", "number"], "left").join(family, ["doc_id", "parent_number"], "left").join(over, ["doc_id", "number"], "left")
     none = F.array().cast("array<string>")
-    return out.select("doc_id", "number", "parent_number", F.coalesce(F.array_except("family", F.array("number")), none).alias("siblings"), F.coalesce("children", none).alias("children"))
+    return out.select("doc_id", "number", "parent_number", F.coalesce("ancestors", none).alias("ancestors"), F.coalesce(F.array_except("family", F.array("number")), none).alias("siblings"), F.coalesce("children", none).alias("children"))
 
 
 def cross_references(found: DataFrame, resolved: bool = True) -> DataFrame:
@@ -112,21 +141,22 @@ def _typed(kind: str):
     return lambda t: F.struct(t.alias("target"), F.lit(kind).alias("ref_type"))
 
 
-#: What may stand before a section's number where another section mentions it.
-MENTIONS = ["section", "see", "refer to", "according to"]
+#: What may stand before a section's number where another section mentions it.  Fixed values.
+MENTIONS = ["section", "clause", "see", "refer"]
 
 
 def mentions(found: DataFrame) -> DataFrame:
-    """(doc_id, source, target): sections whose text holds one of ``MENTIONS`` and the other's number, as a substring.
+    """(doc_id, source, target): sections whose lower-cased text holds a phrase of ``MENTIONS``, a space and another's number.
 
-    Tokens after the phrases are extracted and their prefixes joined by equality, so no section meets all others.
+    The number counts as it is written and as a substring, so only numbers without capitals are ever met, and ``see 5.12``
+    holds ``see 5.1``.  Each phrase with the digits after it is found, overlapping ones too, and meets the numbers of its
+    document that begin with the same digit.
     """
-    # phrase by phrase: "see section 3.1" holds two of them
-    token = F.explode(F.concat(*[extract_all(F.lower("content"), rf"{m} (\S+)", 1) for m in MENTIONS]))
-    asked = found.select("doc_id", F.col("number").alias("source"), token.alias("token"))
-    asked = asked.select("doc_id", "source", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(40))), lambda n: F.substr("token", F.lit(1), n))).alias("target"))
-    known = found.select("doc_id", F.lower("number").alias("target"), F.col("number").alias("n")).distinct()
-    return asked.join(known, ["doc_id", "target"]).where(F.col("source") != F.col("n")).select("doc_id", "source", F.col("n").alias("target")).distinct()
+    token = F.explode(extract_all(F.lower("content"), rf"(?=(?:{'|'.join(MENTIONS)}) (\d[\d.]*))", 1))
+    asked = found.select("doc_id", F.col("number").alias("source"), token.alias("token")).withColumn("digit", F.substring("token", 1, 1)).distinct()
+    known = found.select("doc_id", F.col("number").alias("target"), F.substring("number", 1, 1).alias("digit")).distinct()
+    met = asked.join(known, ["doc_id", "digit"]).where(F.col("token").startswith(F.col("target")) & (F.col("source") != F.col("target")))
+    return met.select("doc_id", "source", "target").distinct()
 
 
 def table_sections(tables: DataFrame, found: DataFrame) -> DataFrame:

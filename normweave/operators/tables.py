@@ -80,11 +80,36 @@ def search(cells: DataFrame, text: str) -> DataFrame:
     return cells.where(F.contains(F.lower("text"), F.lit(text.lower()))).select("table_id").distinct()
 
 
-def markdown(cells: DataFrame) -> DataFrame:
-    """(table_id, markdown): one line for each row."""
-    rows = cells.groupBy("table_id", "r").agg(F.array_sort(F.collect_list(F.struct("c", "text"))).alias("row"))
-    rows = rows.select("table_id", "r", F.concat(F.lit("| "), F.array_join(F.transform("row", lambda x: x["text"]), " | "), F.lit(" |")).alias("line"))
-    return rows.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), "\n").alias("markdown"))
+def markdown(tables: DataFrame, cells: DataFrame) -> DataFrame:
+    """(table_id, markdown) of tables (table_id, headers and, where there are such columns, title and caption) and their cells.
+
+    A header, a rule and a line for each row, padded to the widest cell (a header counts two more); columns of whole numbers
+    only stand at the right.
+    """
+    text = lambda name: F.col(name) if name in tables.columns else F.lit(None).cast("string")
+    heads = tables.select("table_id", F.posexplode("headers").alias("c", "text")).select("table_id", F.lit(-1).alias("r"), "c", "text")
+    every = heads.unionByName(cells.select("table_id", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.coalesce("text", F.lit("")).alias("text")))
+    column = Window.partitionBy("table_id", "c")
+    number = F.min(F.when(F.col("r") >= 0, F.col("text").rlike(r"^\s*[+-]?\d+\s*$"))).over(column)
+    every = every.withColumn("width", F.max(F.char_length("text") + F.when(F.col("r") < 0, 2).otherwise(0)).over(column)).withColumn("right", F.coalesce(number, F.lit(False)))
+    rule = every.where("r < 0").withColumn("padded", F.when(F.col("right"), F.concat(F.repeat(F.lit("-"), F.col("width") + 1), F.lit(":"))).otherwise(F.concat(F.lit(":"), F.repeat(F.lit("-"), F.col("width") + 1))))
+    space = F.repeat(F.lit(" "), F.col("width") - F.char_length("text"))
+    every = every.withColumn("padded", F.concat(F.lit(" "), F.when(F.col("right"), F.concat(space, "text")).otherwise(F.concat("text", space)), F.lit(" ")))
+    # line 0 is the header, 1 the rule
+    every = every.select("table_id", F.when(F.col("r") >= 0, F.col("r") + 2).otherwise(0).alias("line"), "c", "padded").unionByName(rule.select("table_id", F.lit(1).alias("line"), "c", "padded"))
+    in_order = lambda key, value, between: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), between)
+    lines = every.groupBy("table_id", "line").agg(F.concat(F.lit("|"), in_order("c", "padded", "|"), F.lit("|")).alias("row"))
+    body_ = lines.groupBy("table_id").agg(in_order("line", "row", "\n").alias("body"))
+    above = F.concat(F.when(F.coalesce(text("title"), F.lit("")) != "", F.concat(F.lit("### "), text("title"), F.lit("\n\n"))).otherwise(""), F.when(F.coalesce(text("caption"), F.lit("")) != "", F.concat(F.lit("*"), text("caption"), F.lit("*\n\n"))).otherwise(""))
+    return tables.select("table_id", above.alias("above")).join(body_, "table_id").select("table_id", F.concat("above", "body").alias("markdown"))
+
+
+def to_records(tables: DataFrame, cells: DataFrame) -> DataFrame:
+    """Each table's columns plus ``data``, an array of its rows as maps from header to text."""
+    named = cells.join(tables.select("table_id", "headers"), "table_id").withColumn("header", F.get("headers", F.col("c").cast("int")))
+    rows = named.groupBy("table_id", "r").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("c", "header", "text"))), lambda x: F.struct(x["header"], x["text"]))).alias("row"))
+    data = rows.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.map_entries("row").alias("row")))), lambda x: F.map_from_entries(x["row"])).alias("data"))
+    return tables.join(data, "table_id", "left")
 
 
 def concepts(cells: DataFrame, most: int = 5) -> DataFrame:

@@ -57,8 +57,11 @@ def graph_bfs2(spark, sf_dir):
 
 
 def graph_path(spark, sf_dir):
+    """From the region of the first supplier to that supplier."""
     _, edges = _geo(spark, sf_dir)
-    return graph.shortest_path(edges, "region_0", "supplier_10").select(F.array_join("path", ">").alias("path"))
+    supplier, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation"))
+    start = supplier.where("s_suppkey = 1").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).first()["n_regionkey"]
+    return graph.shortest_path(edges, f"region_{start}", "supplier_1").select(F.array_join("path", ">").alias("path"))
 
 
 def graph_components(spark, sf_dir):
@@ -76,7 +79,7 @@ def graph_centrality(spark, sf_dir):
 
 
 def graph_search(spark, sf_dir):
-    return graph.search_nodes(_geo(spark, sf_dir)[0], "AN").select("node_id", "node_type", "label")
+    return graph.search_nodes(_geo(spark, sf_dir)[0], "ION").select("node_id", "node_type", "label")
 
 
 def graph_context(spark, sf_dir):
@@ -94,9 +97,9 @@ def graph_export(spark, sf_dir):
 
 
 def page_links(spark, sf_dir):
-    """Hosts that pages link to: (page host, target host, links)."""
+    """What the pages of a host link to: (host, target, links)."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    links = p.select(F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(r'href="https?://([^/"]+)'), F.lit(1))).alias("dst"))
+    links = p.select(F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]+)"'), F.lit(1))).alias("dst"))
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
@@ -122,15 +125,15 @@ QUERIES = {
         f"WITH {_GEO}, s AS (SELECT node_id FROM nodes WHERE node_type = 'nation'), o AS (SELECT node_id, dst AS related, 'out' AS direction, edge_seq FROM edges JOIN s ON src = node_id), i AS (SELECT node_id, src AS related, 'in' AS direction, min(edge_seq) AS edge_seq FROM edges JOIN s ON dst = node_id GROUP BY 1, 2), u AS (SELECT * FROM o UNION ALL SELECT i.* FROM i WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.node_id = i.node_id AND o.related = i.related)), f AS (SELECT *, min(edge_seq) OVER (PARTITION BY node_id, direction, related) AS first FROM u) SELECT node_id, related, direction, CAST(row_number() OVER (PARTITION BY node_id ORDER BY direction DESC, first, edge_seq) AS INTEGER) AS rn FROM f QUALIFY rn <= 10",
     ),
     "graph_bfs2": (graph_bfs2, f'WITH RECURSIVE {_GEO}, w("start", node_id, distance) AS (SELECT node_id, node_id, 0 FROM nodes WHERE node_type = \'region\' UNION SELECT w."start", h.dst, w.distance + 1 FROM w JOIN hops h ON w.node_id = h.src WHERE w.distance < 2) SELECT "start", node_id, CAST(min(distance) AS INTEGER) AS distance FROM w WHERE node_id <> "start" GROUP BY 1, 2'),
-    "graph_path": (graph_path, f"WITH RECURSIVE {_GEO}, w(node_id, path, d) AS (SELECT 'region_0', 'region_0', 0 UNION SELECT h.dst, w.path || '>' || h.dst, d + 1 FROM w JOIN hops h ON w.node_id = h.src WHERE d < 6) SELECT path FROM w WHERE node_id = 'supplier_10' ORDER BY d, path LIMIT 1"),
+    "graph_path": (graph_path, f"WITH RECURSIVE {_GEO}, z AS (SELECT 'region_' || n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 1), w(node_id, path, d) AS (SELECT r, r, 0 FROM z UNION SELECT h.dst, w.path || '>' || h.dst, d + 1 FROM w JOIN hops h ON w.node_id = h.src WHERE d < 6) SELECT path FROM w WHERE node_id = 'supplier_1' ORDER BY d, path LIMIT 1"),
     "graph_components": (graph_components, f"WITH RECURSIVE {_GEO}, b AS (SELECT src AS a, dst AS b FROM edges WHERE edge_type <> 'references' UNION SELECT dst, src FROM edges WHERE edge_type <> 'references'), w(node_id, x) AS (SELECT node_id, node_id FROM nodes UNION SELECT w.node_id, b.b FROM w JOIN b ON w.x = b.a) SELECT node_id, min(x) AS component FROM w WHERE x IN (SELECT node_id FROM nodes) GROUP BY 1"),
     "graph_stats": (graph_stats, f"WITH RECURSIVE {_GEO}, b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), w(node_id, x) AS (SELECT node_id, node_id FROM every_node UNION SELECT w.node_id, b.b FROM w JOIN b ON w.x = b.a), c AS (SELECT node_id, min(x) AS r FROM w GROUP BY 1) SELECT (SELECT count(*) FROM every_node) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges, (SELECT count(DISTINCT r) FROM c) AS components, round((SELECT count(*) FROM edges) / CAST((SELECT count(*) * (count(*) - 1) FROM every_node) AS DOUBLE), 9) AS density"),
     "graph_centrality": (graph_centrality, f"WITH {_GEO}, d AS (SELECT x AS node_id, count(*) AS n FROM (SELECT src AS x FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) SELECT nodes.node_id, round(coalesce(n, 0) / CAST((SELECT count(*) - 1 FROM nodes) AS DOUBLE), 9) AS centrality FROM nodes LEFT JOIN d ON nodes.node_id = d.node_id ORDER BY coalesce(n, 0) DESC, nodes.node_id LIMIT 5"),
-    "graph_search": (graph_search, f"WITH {_GEO} SELECT node_id, node_type, label FROM nodes WHERE contains(lower(label), 'an') OR contains(lower(node_type), 'an')"),
+    "graph_search": (graph_search, f"WITH {_GEO} SELECT node_id, node_type, label FROM nodes WHERE contains(lower(label), 'ion') OR contains(lower(node_type), 'ion')"),
     "graph_context": (graph_context, f"WITH {_GEO} SELECT node_id, coalesce((SELECT string_agg(DISTINCT src, ',' ORDER BY src) FROM edges WHERE dst = node_id), '') AS predecessors, coalesce((SELECT string_agg(DISTINCT dst, ',' ORDER BY dst) FROM edges WHERE src = node_id), '') AS successors FROM nodes"),
     "graph_subgraph": (graph_subgraph, f"WITH {_GEO} SELECT edge_seq, src, dst FROM edges WHERE NOT starts_with(src, 'supplier') AND NOT starts_with(dst, 'supplier')"),
     "graph_export": (graph_export, f"""WITH {_GEO} SELECT lpad(CAST(edge_seq AS VARCHAR), 20, '0') AS ord, concat('{{"source":"', src, '","target":"', dst, '","edge_type":"', edge_type, '"}}') AS text FROM edges"""),
-    "page_links": (page_links, "WITH l AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS src, unnest(regexp_extract_all(html, 'href=\"https?://([^/\"]+)', 1)) AS dst FROM pages) SELECT src, dst, count(*) AS n FROM l GROUP BY 1, 2"),
+    "page_links": (page_links, "WITH l AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS src, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS dst FROM pages) SELECT src, dst, count(*) AS n FROM l GROUP BY 1, 2"),
     "document_graph": (document_graph, None),
     "document_registry": (document_registry, None),
     "ingest_chunks": (ingest_chunks, None),

@@ -69,8 +69,13 @@ def calculations_text(items: Column) -> Column:
 
 
 def markdown(answer: Column, calculations: Column, sources: Column, steps: Column, sure: Column) -> Column:
-    part = lambda name, items, mark: F.when(F.size(items) > 0, F.concat(F.lit(f"\n\n## {name}\n"), F.array_join(F.transform(items, lambda x: F.concat(F.lit(mark), x)), "\n"))).otherwise("")
-    return F.concat(F.lit("## Answer\n"), answer, part("Calculations", calculations, "- "), part("Sources", sources, "- "), part("Reasoning", steps, "1. "), F.lit("\n\n*Confidence: "), F.round(sure * 100).cast("int").cast("string"), F.lit("%*"))
+    """An answer as Markdown.  calculations: array<struct<expression,result,units>>; sources: array<struct<section,title,page>>; steps: array<string>."""
+    told = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    sum_ = lambda x: F.concat(F.lit("- `"), told(x["expression"]), F.lit(" = "), told(x["result"]), F.when(told(x["units"]) != "", F.concat(F.lit(" "), x["units"])).otherwise(""), F.lit("`\n"))
+    source = lambda x: F.concat(F.lit("- Section "), told(x["section"]), F.lit(": "), told(x["title"]), F.when(F.coalesce(x["page"], F.lit(0)) != 0, F.concat(F.lit(" (Page "), x["page"].cast("string"), F.lit(")"))).otherwise(""), F.lit("\n"))
+    part = lambda name, items, line: F.when(F.size(items) > 0, F.concat(F.lit(f"### {name}\n\n"), F.array_join(F.transform(items, line), ""), F.lit("\n"))).otherwise("")
+    step = lambda x: F.concat(F.lit("1. "), x, F.lit("\n"))
+    return F.concat(F.lit("## Answer\n\n"), answer, F.lit("\n\n"), part("Calculations", calculations, sum_), part("Sources", sources, source), part("Reasoning Steps", steps, step), F.lit("*Confidence: "), F.bround(sure * 100, 0).cast("int").cast("string"), F.lit("%*\n"))
 
 
 def answer_questions(questions: DataFrame, hits: DataFrame) -> DataFrame:

@@ -36,16 +36,42 @@ def vector_search_many(spark, sf_dir):
     return vectors.search_many(v, asked, 5).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
+def _vector_graph(spark, sf_dir):
+    """A graph over the vectors: four types of nodes, followed and other edges, parallel edges, and hubs with many in-edges."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("i"))
+    name = lambda c: F.concat(F.lit("n_"), c.cast("string"))
+    kind = F.element_at(F.array(*map(F.lit, ["section", "formula", "table", "document"])), (F.col("i") % 4 + 1).cast("int"))
+    text = F.col("i").cast("string")
+    properties = F.create_map(F.lit("section_number"), F.concat(F.lit("3."), text), F.lit("page_number"), F.when(F.col("i") % 3 > 0, text), F.lit("content_preview"), F.concat(F.lit("about "), text), F.lit("variables"), F.concat(F.lit("Q, v"), text), F.lit("formula_type"), F.lit("equation"))
+    nodes = v.select(name(F.col("i")).alias("node_id"), kind.alias("node_type"), F.concat(F.lit("Item "), text).alias("label"), properties.alias("properties"))
+    one = lambda part, to, kind, where: v.where(where).select((F.col("i") * 4 + part).alias("edge_seq"), name(F.col("i")).alias("src"), name(F.expr(to)).alias("dst"), F.lit(kind).alias("edge_type"))
+    edges = one(0, "i + 1", "contains", "true").unionByName(one(1, "i + 1", "shares_variable", "i % 2 = 0")).unionByName(one(2, "i - i % 10", "references", "i % 10 > 6")).unionByName(one(3, "i + 5", "uses_variable", "true"))
+    return nodes, edges
+
+
+def _expanded(spark, sf_dir):
+    hits = vectors.search(_vectors(spark, sf_dir), _query(spark, sf_dir), 8)
+    hits = hits.select(F.row_number().over(F_window()).alias("rank"), F.concat(F.lit("n_"), F.col("id").cast("string")).alias("id"), "score", F.concat(F.lit("Label "), F.col("label").cast("string")).alias("section_title"))
+    return hits, vectors.expand(hits, *_vector_graph(spark, sf_dir))
+
+
 def hybrid_retrieval(spark, sf_dir):
-    """Top 8, then up to three neighbours of each hit with the same label, 15 rows in all."""
-    v = _vectors(spark, sf_dir)
-    hits = vectors.search(v, _query(spark, sf_dir), 8)
-    hits = hits.select(F.row_number().over(F_window()).alias("rank"), "id", "score", "label")
-    # a hit's neighbours: the ids after it within its label
-    edges = hits.select(F.col("id").alias("src"), "label").join(v.select(F.col("id").alias("dst"), "label"), "label").where("dst > src")
-    edges = edges.select(F.col("dst").alias("edge_seq"), "src", "dst", F.lit("related_to").alias("edge_type"), F.lit("section").alias("dst_type"))
-    out = vectors.context(hits, vectors.expand(hits, edges, ["related_to"]))
-    return out.select("part", F.col("rank").cast("int").alias("rank"), F.col("rn").cast("int").alias("rn"), F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+    """Top 8, then up to three neighbours of each hit in the graph, those of a wanted section first, 15 rows in all."""
+    out = vectors.context(*_expanded(spark, sf_dir), ["item 1"])
+    return out.select("first", "part", F.col("rank").cast("int").alias("rank"), F.col("rn").cast("int").alias("rn"), "id", F.round("score", 6).alias("score"))
+
+
+def graph_expansion(spark, sf_dir):
+    """What the graph adds to the hits, as context items."""
+    out = _expanded(spark, sf_dir)[1]
+    return out.select(F.col("rank").cast("int").alias("rank"), F.col("rn").cast("int").alias("rn"), "id", "type", "score", "content", "section_number", "section_title", "page_number", "item_id", "formula_type", "variables", "reason")
+
+
+def search_with_context(spark, sf_dir):
+    """The first chunk of each of five documents as hits, with the chunks beside them."""
+    cut = chunks.create_chunks(_docs(spark, sf_dir))
+    hits = cut.where("doc_id < 50 AND chunk_index = 1").select("doc_id", "chunk_index")
+    return chunks.with_context(hits, cut).select("doc_id", "chunk_index", F.md5("content").alias("md5"))
 
 
 def F_window():
@@ -140,20 +166,37 @@ def citations(spark, sf_dir):
 
 def answer_markdown(spark, sf_dir):
     q = _questions(spark, sf_dir)
-    none = F.array().cast("array<string>")
-    text = intent.markdown(F.concat(F.lit("Answer "), F.col("conv_id").cast("string")), F.when(F.col("turn") % 2 == 0, F.array(F.lit("6*300 = 1800"))).otherwise(none), F.array(F.lit("Section 3.1")), none, F.lit(0.7))
+    sums = F.array(F.struct(F.lit("6*300").alias("expression"), F.lit("1800").alias("result"), F.when(F.col("turn") % 4 == 0, "m").alias("units")))
+    sources = F.array(F.struct(F.lit("3.1").alias("section"), F.lit("Scope").alias("title"), F.when(F.col("conv_id") % 2 == 0, F.col("conv_id")).alias("page")))
+    some = lambda items, when: F.when(when, items).otherwise(F.slice(items, 1, 0))
+    steps = some(F.array(F.lit("Search"), F.lit("Check")), F.col("turn") % 3 == 0)
+    text = intent.markdown(F.concat(F.lit("Answer "), F.col("conv_id").cast("string")), some(sums, F.col("turn") % 2 == 0), some(sources, F.col("turn") % 5 > 0), steps, (F.col("turn") % 8) / 16)
     return q.select("conv_id", "turn", F.md5(text).alias("md5"))
 
 
+#: Neighbours of the hits: out-edges first, repeats kept, then in-edges from nodes not listed; three for each hit, each node once.
+_EXPANDED = """g AS (SELECT CAST(vec_id AS BIGINT) AS i FROM embeddings),
+nodes AS (SELECT 'n_' || i AS node_id, (['section','formula','table','document'])[CAST(i % 4 + 1 AS INTEGER)] AS node_type, 'Item ' || i AS label, i FROM g),
+edges AS (SELECT i * 4 AS seq, i AS a, i + 1 AS b FROM g UNION ALL SELECT i * 4 + 1, i, i + 1 FROM g WHERE i % 2 = 0 UNION ALL SELECT i * 4 + 2, i, i - i % 10 FROM g WHERE i % 10 > 6),
+hits AS (SELECT CAST(row_number() OVER (ORDER BY exact DESC, vec_id) AS INTEGER) AS rank, CAST(vec_id AS BIGINT) AS i, 'n_' || vec_id AS id, exact AS score, 'Label ' || label AS section_title FROM s QUALIFY rank <= 8),
+o AS (SELECT rank, b AS x, 0 AS side, seq, min(seq) OVER (PARTITION BY rank, b) AS first FROM hits JOIN edges ON a = i),
+n AS (SELECT rank, a AS x, 1 AS side, min(seq) AS seq, min(seq) AS first FROM hits JOIN edges ON b = i GROUP BY 1, 2),
+l AS (SELECT * FROM o UNION ALL SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.rank = n.rank AND o.x = n.x)),
+p AS (SELECT rank, x, CAST(row_number() OVER (PARTITION BY rank ORDER BY side, first, seq) AS INTEGER) AS rn FROM l QUALIFY rn <= 3),
+items AS (SELECT rank, rn, node_id AS id, node_type AS type, CASE node_type WHEN 'section' THEN CAST(0.7 AS DOUBLE) WHEN 'formula' THEN 0.8 ELSE 0.6 END AS score,
+ CASE node_type WHEN 'section' THEN 'about ' || i WHEN 'formula' THEN 'Formula: ' || label || chr(10) || 'Variables: Q, v' || i ELSE 'Table: ' || label || ' on page ' || CASE WHEN i % 3 > 0 THEN CAST(i AS VARCHAR) ELSE 'Unknown' END END AS content,
+ CASE WHEN node_type = 'section' THEN '3.' || i END AS section_number, CASE WHEN node_type = 'section' THEN label END AS section_title, CASE WHEN node_type <> 'formula' AND i % 3 > 0 THEN CAST(i AS VARCHAR) END AS page_number,
+ CASE WHEN node_type <> 'section' THEN CAST(i AS VARCHAR) END AS item_id, CASE WHEN node_type = 'formula' THEN 'equation' END AS formula_type, CASE WHEN node_type = 'formula' THEN 'Q, v' || i END AS variables, 'related_' || node_type AS reason
+ FROM p JOIN nodes ON x = i WHERE node_type <> 'document' QUALIFY row_number() OVER (PARTITION BY i ORDER BY rank, rn) = 1)"""
 _Q = "q AS (SELECT conv_id, turn, coalesce(text, '') AS text, (['lookup','calculation','comparison','explanation','validation','multi_step'])[CAST(turn % 6 + 1 AS INTEGER)] AS kind FROM conversations WHERE role = 'user')"
 QUERIES = {
     "hybrid_retrieval": (
         hybrid_retrieval,
-        f"WITH {_SCORED}, hits AS (SELECT CAST(row_number() OVER (ORDER BY exact DESC, vec_id) AS INTEGER) AS rank, vec_id, score, label FROM s QUALIFY rank <= 8), "
-        "near AS (SELECT h.rank, e.vec_id, CAST(row_number() OVER (PARTITION BY h.rank ORDER BY e.vec_id) AS INTEGER) AS rn FROM hits h JOIN embeddings e ON h.label = e.label AND e.vec_id > h.vec_id QUALIFY rn <= 3), "
-        "u AS (SELECT 0 AS part, rank, 0 AS rn, vec_id, score FROM hits UNION ALL SELECT 1, rank, rn, vec_id, CAST(0.7 AS DOUBLE) FROM near) "
-        "SELECT part, rank, rn, vec_id, score FROM u ORDER BY part, rank, rn LIMIT 15",
+        f"WITH {_SCORED}, {_EXPANDED}, u AS (SELECT 0 AS part, rank, 0 AS rn, id, score, section_title FROM hits UNION ALL SELECT 1, rank, rn, id, score, section_title FROM items) "
+        "SELECT coalesce(contains(lower(section_title), 'item 1'), false) AS first, part, rank, rn, id, round(score, 6) AS score FROM u ORDER BY first DESC, part, rank, rn LIMIT 15",
     ),
+    "graph_expansion": (graph_expansion, f"WITH {_SCORED}, {_EXPANDED} SELECT rank, rn, id, type, score, content, section_number, section_title, page_number, item_id, formula_type, variables, reason FROM items"),
+    "search_with_context": (search_with_context, f"WITH RECURSIVE {_CHUNKS}, h AS (SELECT doc_id, chunk_index FROM chunks_ WHERE doc_id < 50 AND chunk_index = 1) SELECT h.doc_id, h.chunk_index, md5(string_agg(c.content, chr(10) || chr(10) ORDER BY c.chunk_index)) AS md5 FROM h JOIN chunks_ c ON c.doc_id = h.doc_id AND abs(c.chunk_index - h.chunk_index) <= 1 GROUP BY 1, 2"),
     "vector_topk": (vector_topk, f"WITH {_SCORED} SELECT vec_id, score FROM s ORDER BY exact DESC, vec_id LIMIT 10"),
     "vector_topk_filtered": (vector_topk_filtered, f"WITH {_SCORED} SELECT vec_id, score FROM s WHERE label = 3 ORDER BY exact DESC, vec_id LIMIT 8"),
     "vector_search_many": (
@@ -177,6 +220,8 @@ QUERIES = {
     ),
     "answer_markdown": (
         answer_markdown,
-        f"WITH {_Q} SELECT conv_id, turn, md5(concat('## Answer', chr(10), 'Answer ', CAST(conv_id AS VARCHAR), CASE WHEN turn % 2 = 0 THEN concat(chr(10), chr(10), '## Calculations', chr(10), '- 6*300 = 1800') ELSE '' END, chr(10), chr(10), '## Sources', chr(10), '- Section 3.1', chr(10), chr(10), '*Confidence: 70%*')) AS md5 FROM q",
+        f"WITH {_Q} SELECT conv_id, turn, md5(concat('## Answer', chr(10), chr(10), 'Answer ', CAST(conv_id AS VARCHAR), chr(10), chr(10), CASE WHEN turn % 2 = 0 THEN concat('### Calculations', chr(10), chr(10), '- `6*300 = 1800', CASE WHEN turn % 4 = 0 THEN ' m' ELSE '' END, '`', chr(10), chr(10)) ELSE '' END, "
+        "CASE WHEN turn % 5 > 0 THEN concat('### Sources', chr(10), chr(10), '- Section 3.1: Scope', CASE WHEN conv_id % 2 = 0 AND conv_id <> 0 THEN concat(' (Page ', CAST(conv_id AS VARCHAR), ')') ELSE '' END, chr(10), chr(10)) ELSE '' END, "
+        "CASE WHEN turn % 3 = 0 THEN concat('### Reasoning Steps', chr(10), chr(10), '1. Search', chr(10), '1. Check', chr(10), chr(10)) ELSE '' END, '*Confidence: ', (['0','6','12','19','25','31','38','44'])[CAST(turn % 8 + 1 AS INTEGER)], '%*', chr(10))) AS md5 FROM q",
     ),
 }

@@ -33,15 +33,16 @@ def rule_conditions(spark, sf_dir):
 
 
 def _facts(spark, sf_dir):
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return part.select(F.col("p_partkey").alias("fact_id"), F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("price"), F.lit("abc")).alias("vars"))
+    """A fact for each size of a part, some without a price."""
+    sizes = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size").distinct()
+    price = F.when(F.col("p_size") % 2 == 0, F.lit("abc"))
+    return sizes.select(F.col("p_size").alias("fact_id"), F.map_filter(F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("price"), price), lambda k, v: v.isNotNull()).alias("vars"))
 
 
 def rule_eval(spark, sf_dir):
-    """Which rules of the first documents fire for each part."""
-    some = rules.extract_rules(texts(spark, sf_dir).where("doc_id <= 50"))
-    out = rules.evaluate_rules(some, _facts(spark, sf_dir)).where("fact_id IS NOT NULL")
-    return out.groupBy("doc_id").agg(F.count("*").alias("n_fired"), F.min("fact_id").alias("first_fact"))
+    """Which facts fire the rules of each document, and its rules without conditions."""
+    out = rules.evaluate_rules(_rules(spark, sf_dir), _facts(spark, sf_dir))
+    return out.groupBy("doc_id").agg(F.count("fact_id").alias("n_fired"), F.min("fact_id").alias("first_fact"), F.count_if(F.col("fact_id").isNull()).alias("n_free"))
 
 
 def rules_by_variable(spark, sf_dir):
@@ -155,7 +156,7 @@ QUERIES = {
     "rule_extract": (rule_extract, f"WITH {_R} SELECT doc_id, rule_no, rule_type, source_text, target, expression FROM r"),
     "rule_stats": (rule_stats, f"WITH {_R} SELECT count(*) AS total_rules, {', '.join(f'count(*) FILTER (rule_type = {chr(39)}{t}{chr(39)}) AS n_{t}' for t in RULE_TYPES)}, count(*) FILTER (rule_type IN ('conditional', 'constraint')) AS with_conditions, count(*) AS with_actions FROM r"),
     "rule_conditions": (rule_conditions, f"WITH {_R} SELECT doc_id, variable, op, num FROM cond"),
-    "rule_eval": (rule_eval, f"WITH {_R} SELECT c.doc_id, count(*) AS n_fired, min(p.p_partkey) AS first_fact FROM cond c JOIN part p ON c.variable = 'size' AND p.p_size > c.num WHERE c.doc_id <= 50 GROUP BY 1"),
+    "rule_eval": (rule_eval, f"WITH {_R}, facts AS (SELECT DISTINCT p_size FROM part), met AS (SELECT c.doc_id, count(*) AS n, min(p_size) AS first_fact FROM cond c JOIN facts ON c.variable = 'size' AND p_size > c.num GROUP BY 1), free AS (SELECT doc_id, count(*) AS n FROM r WHERE rule_type NOT IN ('conditional', 'constraint') GROUP BY 1) SELECT coalesce(m.doc_id, f.doc_id) AS doc_id, coalesce(m.n, 0) AS n_fired, m.first_fact, coalesce(f.n, 0) AS n_free FROM met m FULL JOIN free f ON m.doc_id = f.doc_id"),
     "rules_by_variable": (rules_by_variable, f"WITH {_R}, u AS (SELECT rule_type FROM r WHERE rule_type = 'conditional' AND regexp_matches(g1, '(?i)^size\\s*>') UNION ALL SELECT rule_type FROM r WHERE rule_type = 'constraint' AND lower(g1) = 'size' UNION ALL SELECT rule_type FROM r WHERE lower(target) = 'size') SELECT rule_type, count(*) AS n FROM u GROUP BY 1"),
     "rules_by_type": (rules_by_type, f"WITH {_R} SELECT doc_id, rule_no, expression FROM r WHERE rule_type = 'reference'"),
     "expr_eval": (expr_eval, f"SELECT l_returnflag, round(avg(l_extendedprice * (1 - l_discount) ** 2 + sqrt(l_quantity)), 4) AS mean_net {_L} 1"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.patterns import FORMULAS, FUNCTION_NAMES, ID, NUM
+from ..functions.patterns import FORMULA_SYMBOLS, FORMULAS, FUNCTION_NAMES, ID, NUM
 from ..operators import formulas, sections, tables
 from ..sources.readers import html_structure
 from .spec import PAGES, SECTIONS, TEXTS, pages, texts
@@ -147,7 +147,9 @@ def table_process(spark, sf_dir):
 
 
 def table_markdown(spark, sf_dir):
-    return tables.markdown(_cells(spark, sf_dir)).select("table_id", F.md5("markdown").alias("md5"))
+    found, below = tables.process(_cells(spark, sf_dir))
+    titled = found.withColumn("title", F.when(F.col("table_id") == "nation_l", "Nations")).withColumn("caption", F.when(F.col("table_id") != "region", F.concat(F.lit("As of "), "table_id")))
+    return tables.markdown(titled, below).select("table_id", F.md5("markdown").alias("md5"))
 
 
 def table_concepts(spark, sf_dir):
@@ -162,7 +164,7 @@ def html_pages(spark, sf_dir):
 _SQL_LINES = TEXTS + ", l AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'i': i - 1, 'line': x, 'all': string_split(text, chr(10))})) AS k FROM texts)"
 _HITS = " UNION ALL ".join(f"SELECT doc_id, k.i AS line_no, k.all AS every, {k} AS pattern, unnest(list_transform(regexp_extract_all(k.line, '{p}'), lambda x, i: {{'pos': i, 'raw': x}})) AS m FROM l" for k, p in enumerate(FORMULAS))
 _NORMAL = "trim(regexp_replace(raw_text, '\\s+', ' ', 'g'))"
-for _a, _b in [("×", "*"), ("÷", "/"), ("≤", "<="), ("≥", ">="), ("≠", "!="), ("≈", "~="), ("²", "^2"), ("³", "^3"), ("√", "sqrt")]:
+for _a, _b in FORMULA_SYMBOLS:
     _NORMAL = f"replace({_NORMAL}, '{_a}', '{_b}')"
 _F = f"""{_SQL_LINES}, hit AS ({_HITS}),
 f0 AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no, pattern, m.pos) AS INTEGER) AS formula_no, CAST(line_no AS INTEGER) AS line_no, trim(m.raw) AS raw_text, every FROM hit),
@@ -173,7 +175,6 @@ _DEFS = r"""d AS (
  SELECT doc_id, 0 AS p, unnest(list_transform(list_zip(regexp_extract_all(text, '(?im)where\s+([A-Za-z_][\p{L}\p{N}_]*)\s+(?:is|=)\s+(?:the\s+)?([^,.\n]+)', 1), regexp_extract_all(text, '(?im)where\s+([A-Za-z_][\p{L}\p{N}_]*)\s+(?:is|=)\s+(?:the\s+)?([^,.\n]+)', 2)), lambda x, i: {'i': i, 's': x[1], 'd': x[2]})) AS m FROM texts
  UNION ALL SELECT doc_id, 2, unnest(list_transform(list_zip(regexp_extract_all(text, '(?im)let\s+([A-Za-z_][\p{L}\p{N}_]*)\s+be\s+(?:the\s+)?([^,.\n]+)', 1), regexp_extract_all(text, '(?im)let\s+([A-Za-z_][\p{L}\p{N}_]*)\s+be\s+(?:the\s+)?([^,.\n]+)', 2)), lambda x, i: {'i': i, 's': x[1], 'd': x[2]})) FROM texts),
 r AS (SELECT doc_id, m.s AS symbol, trim(m.d) AS name, row_number() OVER (PARTITION BY doc_id, m.s ORDER BY p, m.i) AS rn FROM d)"""
-_MENTIONED = " UNION ALL ".join(f"SELECT doc_id, number AS source, unnest(regexp_extract_all(lower(content), '{m} (\\S+)', 1)) AS token FROM sections_" for m in sections.MENTIONS)
 QUERIES = {
     "section_extract": (section_extract, f"WITH {SECTIONS} SELECT doc_id, seq, number, title, page_number, md5(content) AS content_md5 FROM sections_"),
     "section_levels": (section_levels, f"WITH {SECTIONS} SELECT level, count(*) AS n FROM sections_ GROUP BY level"),
@@ -186,7 +187,7 @@ QUERIES = {
         f"WITH {SECTIONS}, t AS (SELECT k.doc_id, k.number, p.number AS up FROM known k LEFT JOIN known p ON k.doc_id = p.doc_id AND contains(k.number, '.') AND p.number = split_part(k.number, '.', 1)) SELECT t.doc_id, t.number, coalesce((SELECT string_agg(s.number, ',' ORDER BY s.number) FROM t s WHERE s.doc_id = t.doc_id AND s.up = t.up AND s.number <> t.number), '') AS siblings, coalesce((SELECT string_agg(s.number, ',' ORDER BY s.number) FROM t s WHERE s.doc_id = t.doc_id AND s.up = t.number), '') AS children FROM t",
     ),
     "xref_resolve": (xref_resolve, f"WITH {SECTIONS}, x AS (SELECT doc_id, number AS source, unnest(regexp_extract_all(content, '(?i)see\\s+section\\s+(\\d+(?:\\.\\d+)*)', 1)) AS target FROM sections_) SELECT x.doc_id, source, target, count(*) AS n FROM x JOIN known k ON x.doc_id = k.doc_id AND x.target = k.number GROUP BY ALL"),
-    "text_references": (text_references, f"WITH {SECTIONS}, x AS ({_MENTIONED}) SELECT DISTINCT x.doc_id, source, k.number AS target FROM x JOIN known k ON x.doc_id = k.doc_id AND starts_with(token, lower(k.number)) AND source <> k.number"),
+    "text_references": (text_references, f"WITH {SECTIONS} SELECT DISTINCT a.doc_id, a.number AS source, b.number AS target FROM sections_ a JOIN sections_ b ON a.doc_id = b.doc_id AND a.number <> b.number AND (contains(lower(a.content), 'section ' || b.number) OR contains(lower(a.content), 'clause ' || b.number) OR contains(lower(a.content), 'see ' || b.number) OR contains(lower(a.content), 'refer ' || b.number))"),
     "raw_text": (raw_text, f"WITH {PAGES} SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY page_no)) AS md5, max(page_no) AS total_pages FROM pages_ GROUP BY doc_id"),
     "formula_extract": (formula_extract, f"WITH {_F} SELECT doc_id, formula_no, line_no, raw_text, normalized_text, formula_type FROM f"),
     "formula_types": (formula_types, f"WITH {_F} SELECT formula_type, count(*) AS n FROM f GROUP BY 1"),
@@ -203,7 +204,17 @@ QUERIES = {
     "table_lookup": (table_lookup, f"WITH {_CELLS}, k AS (SELECT table_id, r, max(text) FILTER (c = 0) AS k, max(text) FILTER (c = 1) AS v FROM cells GROUP BY ALL) SELECT table_id, min_by(v, r) AS value FROM k WHERE regexp_matches(k, '(?i)^a') GROUP BY 1"),
     "table_search": (table_search, f"WITH {_CELLS} SELECT DISTINCT table_id FROM cells WHERE contains(lower(text), 'group')"),
     "table_process": (table_process, f"WITH {_CELLS} SELECT table_id, CASE WHEN count(DISTINCT c) = 2 THEN 'lookup' ELSE 'data' END AS table_type, CAST(max(r) + 1 AS INTEGER) AS n_rows, CAST(max(c) + 1 AS INTEGER) AS n_cols FROM body GROUP BY 1 HAVING avg(CASE WHEN trim(text) <> '' THEN 1 ELSE 0 END) >= 0.2"),
-    "table_markdown": (table_markdown, f"WITH {_CELLS}, m AS (SELECT table_id, r, '| ' || string_agg(text, ' | ' ORDER BY c) || ' |' AS line FROM cells GROUP BY ALL) SELECT table_id, md5(string_agg(line, chr(10) ORDER BY r)) AS md5 FROM m GROUP BY 1"),
+    "table_markdown": (
+        table_markdown,
+        f"""WITH {_CELLS}, st AS (SELECT *, avg(CASE WHEN text = '' THEN 1 ELSE 0 END) OVER (PARTITION BY table_id, c) AS e FROM body),
+ fl AS (SELECT table_id, r, c, CASE WHEN e > 0 AND e < 0.5 THEN coalesce(last_value(nullif(text, '') IGNORE NULLS) OVER (PARTITION BY table_id, c ORDER BY r), '') ELSE text END AS text FROM st),
+ al AS (SELECT table_id, -1 AS r, c, CASE WHEN numeric THEN 'Column_' || c ELSE text END AS text FROM cells JOIN num USING (table_id) WHERE r = 0 UNION ALL SELECT * FROM fl),
+ w AS (SELECT table_id, c, max(length(text) + CASE WHEN r < 0 THEN 2 ELSE 0 END) AS w, bool_and(regexp_full_match(text, '[0-9]+')) FILTER (r >= 0) AS n FROM al GROUP BY ALL),
+ p AS (SELECT table_id, c, CASE WHEN r < 0 THEN 0 ELSE r + 2 END AS line, ' ' || CASE WHEN n THEN repeat(' ', w - length(text)) || text ELSE text || repeat(' ', w - length(text)) END || ' ' AS x FROM al JOIN w USING (table_id, c)
+  UNION ALL SELECT table_id, c, 1, CASE WHEN n THEN repeat('-', w + 1) || ':' ELSE ':' || repeat('-', w + 1) END FROM w),
+ m AS (SELECT table_id, line, '|' || string_agg(x, '|' ORDER BY c) || '|' AS row FROM p GROUP BY ALL)
+ SELECT table_id, md5(CASE WHEN table_id = 'nation_l' THEN '### Nations' || chr(10) || chr(10) ELSE '' END || CASE WHEN table_id <> 'region' THEN '*As of ' || table_id || '*' || chr(10) || chr(10) ELSE '' END || string_agg(row, chr(10) ORDER BY line)) AS md5 FROM m GROUP BY table_id""",
+    ),
     "table_concepts": (
         table_concepts,
         f"WITH {_CELLS}, h AS (SELECT table_id, 0 AS part, c AS pos, CASE WHEN numeric THEN 'Column_' || CAST(c AS VARCHAR) ELSE text END AS label FROM cells JOIN num USING (table_id) WHERE r = 0), u AS (SELECT * FROM h WHERE length(label) > 2 AND lower(label) NOT IN ('id', 'no', 'ref') UNION ALL SELECT table_id, 1, r, text FROM body WHERE c = 0 AND r < 10 AND length(text) > 3), d AS (SELECT table_id, label, min((part * 1000 + pos)) AS place FROM u GROUP BY ALL) SELECT table_id, CAST(row_number() OVER (PARTITION BY table_id ORDER BY place, label) AS INTEGER) AS rn, label AS concept FROM d QUALIFY rn <= 5",

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Catalog:
@@ -46,6 +49,33 @@ class Catalog:
             self.delete(name)
 
 
-def sanitized(metadata):
-    """map<string,string> of a struct or map of values: scalars as strings, arrays joined by commas, others as JSON."""
-    return F.transform_values(metadata, lambda k, v: F.coalesce(v.cast("string"), F.lit("")))
+def _json(value, kind):
+    """A value as JSON text with a space after each comma and colon."""
+    if isinstance(kind, T.ArrayType):
+        inner = F.array_join(F.transform(value, lambda x: _json(x, kind.elementType)), ", ")
+        return F.coalesce(F.concat(F.lit("["), inner, F.lit("]")), F.lit("null"))
+    if isinstance(kind, T.MapType):
+        pair = lambda e: F.concat(_json(e["key"].cast("string"), T.StringType()), F.lit(": "), _json(e["value"], kind.valueType))
+        return F.coalesce(F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(value), pair), ", "), F.lit("}")), F.lit("null"))
+    if isinstance(kind, T.StructType):
+        pairs = [F.concat(F.lit(json.dumps(f.name) + ": "), _json(value[f.name], f.dataType)) for f in kind]
+        return F.when(value.isNull(), "null").otherwise(F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}")))
+    # one value as an array, without the brackets
+    text = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.coalesce(F.substring(text, 2, 2**31 - 1).substr(F.lit(1), F.length(text) - 2), F.lit("null"))
+
+
+def sanitized(rows: DataFrame, column: str = "metadata") -> DataFrame:
+    """The rows with each field of a struct as a plain value: text, numbers, truth values and nulls stay, arrays become
+    their elements joined by a comma and a space, maps and structs JSON, anything else its text."""
+    fields = []
+    for f in rows.schema[column].dataType:
+        value, kind = F.col(column)[f.name], f.dataType
+        if isinstance(kind, T.ArrayType):
+            value = F.when(value.isNotNull(), F.array_join(value.cast("array<string>"), ", ", "None"))
+        elif isinstance(kind, (T.MapType, T.StructType)):
+            value = F.when(value.isNotNull(), _json(value, kind))
+        elif not isinstance(kind, (T.StringType, T.NumericType, T.BooleanType, T.NullType)):
+            value = value.cast("string")
+        fields.append(value.alias(f.name))
+    return rows.withColumn(column, F.struct(*fields))

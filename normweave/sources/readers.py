@@ -12,9 +12,15 @@ LARGEST = 100 * 1024 * 1024
 PAGES = "path string, page_no int, text string"
 
 
-def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Binary files of at most 100 MB; larger ones are left out by the scan's own filter."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).where(F.col("length") <= LARGEST)
+def files(spark: SparkSession, path: str, pattern: str = "*", *, too_large: str = "raise") -> DataFrame:
+    """Binary files of at most 100 MB.  A larger one is an error when it is read, or with ``too_large="skip"`` left out by the scan's own filter."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    if too_large == "skip":
+        return found.where(F.col("length") <= LARGEST)
+    if too_large != "raise":
+        raise ValueError(f"no such way: {too_large}")
+    told = F.concat(F.lit("file too large: "), "path")
+    return found.withColumn("path", F.when(F.col("length") > LARGEST, F.raise_error(told)).otherwise(F.col("path")))
 
 
 def decoded(found: DataFrame, *decoders: Callable[[bytes], list[str]]) -> DataFrame:
@@ -29,8 +35,8 @@ def decoded(found: DataFrame, *decoders: Callable[[bytes], list[str]]) -> DataFr
                         pages = decode(bytes(content))
                     except Exception:  # noqa: BLE001  the next decoder is tried
                         continue
-                    if "".join(pages).strip():
-                        rows += [(path, i + 1, t) for i, t in enumerate(pages)]
+                    if pages and "".join(p or "" for p in pages).strip():
+                        rows += [(path, i + 1, t or "") for i, t in enumerate(pages)]
                         break
             yield pd.DataFrame(rows, columns=["path", "page_no", "text"])
 
