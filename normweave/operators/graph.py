@@ -10,6 +10,8 @@ import tempfile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import slug
+
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder; one of our own only where the session names none."""
@@ -173,7 +175,7 @@ def _id(kind: str, *cols):
     return F.concat_ws("_", F.lit(kind), *[F.col(c).cast("string") for c in cols])
 
 
-def build(documents: DataFrame, sections: DataFrame, formulas: DataFrame, mentions: DataFrame, shared: DataFrame, tables: DataFrame | None = None, table_of: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def build(documents: DataFrame, sections: DataFrame, formulas: DataFrame, mentions: DataFrame, shared: DataFrame, tables: DataFrame | None = None, table_of: DataFrame | None = None, concepts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of documents (doc_id, title), sections, formulas (with section ``number``), mentions and shared
     variables.  Variables are global nodes, so they link documents.  ``edge_seq`` follows kind, document and place."""
     null = F.lit(None).cast("map<string,string>").alias("properties")
@@ -190,7 +192,8 @@ def build(documents: DataFrame, sections: DataFrame, formulas: DataFrame, mentio
     edges = edge(tree, 0, F.coalesce(F.concat_ws("_", F.lit("section"), F.col("doc_id").cast("string"), F.when(F.col("up").isNotNull(), F.col("up"))), F.lit("")), _id("section", "doc_id", "number"), "contains", key)
     edges = edges.withColumn("src", F.when(F.col("src") == F.concat_ws("_", F.lit("section"), F.col("doc_id").cast("string")), _id("doc", "doc_id")).otherwise(F.col("src")))
     if "number" in formulas.columns:
-        edges = edges.unionByName(edge(formulas.where("number IS NOT NULL"), 1, _id("section", "doc_id", "number"), _id("formula", "doc_id", "formula_no"), "contains", F.lpad(F.col("formula_no").cast("string"), 9, "0")))
+        there = formulas.join(sections.select("doc_id", "number").distinct(), ["doc_id", "number"], "left_semi")
+        edges = edges.unionByName(edge(there, 1, _id("section", "doc_id", "number"), _id("formula", "doc_id", "formula_no"), "contains", F.lpad(F.col("formula_no").cast("string"), 9, "0")))
     uses = formulas.select("doc_id", "formula_no", F.posexplode("variables").alias("k", "v"))
     edges = edges.unionByName(edge(uses, 2, _id("formula", "doc_id", "formula_no"), _id("variable", "v"), "uses_variable", F.lpad(F.col("formula_no").cast("string"), 9, "0"), "k"))
     for part, a, b in ((3, "a", "b"), (4, "b", "a")):
@@ -201,6 +204,10 @@ def build(documents: DataFrame, sections: DataFrame, formulas: DataFrame, mentio
         edges = edges.unionByName(edge(tables, 6, _id("doc", "doc_id"), _id("table", "doc_id", "table_id"), "contains", "table_id"))
         if table_of is not None:
             edges = edges.unionByName(edge(table_of, 7, _id("section", "doc_id", "number"), _id("table", "doc_id", "table_id"), "contains", "table_id"))
+    if concepts is not None:
+        terms = concepts.withColumn("slug", slug(F.col("concept")))
+        nodes = nodes.unionByName(node(terms.groupBy("slug").agg(F.min("concept").alias("concept")), F.col("slug"), "concept", F.col("concept")))
+        edges = edges.unionByName(edge(terms, 8, _id("table", "doc_id", "table_id"), F.col("slug"), "related_to", "table_id", "rn"))
     return nodes, with_edge_seq(edges)
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from .ingest import ingest
-from .spec import pages
+from .spec import SECTIONS, TEXTS, pages
+from .text_queries import CELLS_SQL, CONCEPTS_SQL, FORMULA_SQL, cells
 
 
 def _geo(spark, sf_dir):
@@ -103,20 +104,38 @@ def page_links(spark, sf_dir):
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+def _ingested(spark, sf_dir):
+    """The derived text with two tables: the regions on page 1 of document 0, the nations, in two flavors, on page 2 of document 1."""
+    region = F.col("table_id") == "region"
+    return ingest(pages(spark, sf_dir), cells(spark, sf_dir).select(F.when(region, 0).otherwise(1).cast("long").alias("doc_id"), F.when(region, 1).otherwise(2).alias("page_number"), "*"))
+
+
 def document_graph(spark, sf_dir):
-    """The graph that ingestion builds from the derived text: edges by type."""
-    got = ingest(pages(spark, sf_dir))
-    return got.edges.groupBy("edge_type").agg(F.count("*").alias("n"))
+    """The graph that ingestion builds: edges by type."""
+    return _ingested(spark, sf_dir).edges.groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+def document_nodes(spark, sf_dir):
+    return _ingested(spark, sf_dir).nodes.groupBy("node_type").agg(F.count("*").alias("n"), F.countDistinct("node_id").alias("ids"))
 
 
 def document_registry(spark, sf_dir):
-    return ingest(pages(spark, sf_dir)).documents.select("doc_id", "title", "total_pages", "n_sections", "n_formulas")
+    return _ingested(spark, sf_dir).documents.select("doc_id", "title", "total_pages", "n_sections", "n_formulas", "n_tables")
 
 
 def ingest_chunks(spark, sf_dir):
-    return ingest(pages(spark, sf_dir)).chunks.groupBy("type").agg(F.count("*").alias("n"))
+    return _ingested(spark, sf_dir).chunks.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("ids"))
+
 
+def graph_upsert(spark, sf_dir):
+    """Nodes that come several times: the last one counts."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    rows = nation.select(F.col("n_regionkey").cast("string").alias("node_id"), F.col("n_nationkey").alias("node_seq"), F.col("n_name").alias("label"))
+    return graph.coloured(graph.upsert_nodes(rows).withColumn("node_type", F.when(F.col("node_id") == "0", "section").otherwise("other"))).select("node_id", "label", "colour")
 
+
+#: Formulas of sections: the relations f and v of the text queries, over section contents; doc_id holds document and section.
+_FORMED = SECTIONS + ", stexts AS (SELECT doc_id * 1000000 + seq AS doc_id, content AS text FROM sections_)" + FORMULA_SQL[len(TEXTS) :].replace("FROM texts", "FROM stexts")
 QUERIES = {
     "graph_edges": (graph_edges, f"WITH {_GEO} SELECT node_type AS type, count(*) AS n, 'node' AS kind FROM nodes GROUP BY 1 UNION ALL SELECT edge_type, count(*), 'edge' FROM edges GROUP BY 1"),
     "graph_nodes": (graph_nodes, f"WITH {_GEO} SELECT node_type, count(*) AS n FROM every_node GROUP BY 1"),
@@ -134,7 +153,27 @@ QUERIES = {
     "graph_subgraph": (graph_subgraph, f"WITH {_GEO} SELECT edge_seq, src, dst FROM edges WHERE NOT starts_with(src, 'supplier') AND NOT starts_with(dst, 'supplier')"),
     "graph_export": (graph_export, f"""WITH {_GEO} SELECT lpad(CAST(edge_seq AS VARCHAR), 20, '0') AS ord, concat('{{"source":"', src, '","target":"', dst, '","edge_type":"', edge_type, '"}}') AS text FROM edges"""),
     "page_links": (page_links, "WITH l AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS src, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS dst FROM pages) SELECT src, dst, count(*) AS n FROM l GROUP BY 1, 2"),
-    "document_graph": (document_graph, None),
-    "document_registry": (document_registry, None),
-    "ingest_chunks": (ingest_chunks, None),
+    "document_graph": (
+        document_graph,
+        f"""WITH {_FORMED}, {CELLS_SQL}, {CONCEPTS_SQL},
+ m AS (SELECT DISTINCT a.doc_id, a.number, b.number AS target FROM sections_ a JOIN sections_ b ON a.doc_id = b.doc_id AND a.number <> b.number AND (contains(lower(a.content), 'section ' || b.number) OR contains(lower(a.content), 'clause ' || b.number) OR contains(lower(a.content), 'see ' || b.number) OR contains(lower(a.content), 'refer ' || b.number))),
+ k AS (SELECT doc_id // 1000000 AS d, variable, count(*) AS n FROM v GROUP BY ALL)
+ SELECT 'contains' AS edge_type, (SELECT count(*) FROM sections_) + (SELECT count(*) FROM f) + 2 + (SELECT count(DISTINCT doc_id) FROM sections_ WHERE (doc_id = 0 AND page_number = 1) OR (doc_id = 1 AND page_number = 2)) AS n
+ UNION ALL SELECT 'uses_variable', count(*) FROM v UNION ALL SELECT 'shares_variable', CAST(sum(n * (n - 1)) AS BIGINT) FROM k UNION ALL SELECT 'references', count(*) FROM m UNION ALL SELECT 'related_to', count(*) FROM concepts_ WHERE table_id <> 'nation_s'""",
+    ),
+    "document_nodes": (
+        document_nodes,
+        f"""WITH {_FORMED}, {CELLS_SQL}, {CONCEPTS_SQL}, x AS (SELECT DISTINCT concept FROM concepts_ WHERE table_id <> 'nation_s')
+ SELECT 'document' AS node_type, count(*) AS n, count(*) AS ids FROM (SELECT DISTINCT doc_id FROM pages_) UNION ALL SELECT 'section', count(*), count(*) FROM known UNION ALL SELECT 'formula', count(*), count(*) FROM f
+ UNION ALL SELECT 'variable', count(DISTINCT variable), count(DISTINCT variable) FROM v UNION ALL SELECT 'table', 2, 2 UNION ALL SELECT 'concept', count(*), count(*) FROM (SELECT DISTINCT replace(lower(concept), ' ', '_') FROM x)""",
+    ),
+    "document_registry": (
+        document_registry,
+        f"""WITH {_FORMED}, raw AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no) AS t, max(page_no) AS total_pages FROM pages_ GROUP BY 1),
+ up AS (SELECT a.doc_id, a.seq, max(b.seq) AS parent FROM sections_ a LEFT JOIN sections_ b ON a.doc_id = b.doc_id AND b.seq < a.seq AND b.level < a.level GROUP BY 1, 2)
+ SELECT raw.doc_id, coalesce(list_filter(list_transform(list_slice(string_split(trim(t), chr(10)), 1, 10), lambda x: trim(x)), lambda s: length(s) > 10 AND NOT regexp_matches(s, '^[0-9]'))[1], 'Untitled Document') AS title, total_pages,
+  (SELECT count(*) FROM up WHERE up.doc_id = raw.doc_id AND parent IS NULL) AS n_sections, (SELECT count(*) FROM f WHERE f.doc_id // 1000000 = raw.doc_id) AS n_formulas, CAST(CASE WHEN raw.doc_id IN (0, 1) THEN 1 ELSE 0 END AS BIGINT) AS n_tables FROM raw""",
+    ),
+    "ingest_chunks": (ingest_chunks, f"WITH {_FORMED} SELECT 'section' AS type, count(*) AS n, count(DISTINCT doc_id || '_' || number) AS ids FROM sections_ WHERE trim(content) <> '' UNION ALL SELECT 'formula', count(*), count(*) FROM f UNION ALL SELECT 'table', 2, 2"),
+    "graph_upsert": (graph_upsert, "SELECT CAST(n_regionkey AS VARCHAR) AS node_id, max_by(n_name, n_nationkey) AS label, CASE WHEN n_regionkey = 0 THEN '#4ECDC4' END AS colour FROM nation GROUP BY n_regionkey"),
 }

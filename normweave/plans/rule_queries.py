@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import expr, units
 from ..functions.patterns import RULE_TYPES, RULES
 from ..functions.text import quantity, section_key, sentences, value_and_unit
-from ..operators import rules
+from ..operators import calculations, rules
+from ..sources.catalog import sanitized
 from .spec import TEXTS, texts
 
 
@@ -130,6 +131,36 @@ def section_keys(spark, sf_dir):
     return part.select("p_partkey", F.array_join(F.transform(section_key(number), lambda x: x.cast("string")), ",").alias("key"))
 
 
+def _part(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_size").cast("double").alias("size"))
+
+
+def calculation_rows(spark, sf_dir):
+    """The calculations that intents ask for, some of which fail."""
+    rows = _part(spark, sf_dir).select(F.col("p_partkey").alias("q_id"), F.create_map(F.lit("n"), F.col("size")).alias("parameters"), F.array(F.lit("n × 300"), F.lit("n +"), F.concat(F.lit("sqrt("), F.col("size").cast("int").cast("string"), F.lit("^2) + 1")), F.lit("1 / (n - n)")).alias("required_calculations"))
+    return calculations.performed(rows).select("q_id", F.col("pos").cast("int").alias("pos"), "expression", F.round("result", 6).alias("result"))
+
+
+def solve_rows(spark, sf_dir):
+    """Equations in columns: a product, a quotient and one without a solution."""
+    k = F.col("p_partkey") % 3
+    rows = _part(spark, sf_dir).select("p_partkey", F.when(k == 0, "A = B*C").when(k == 1, "v = d / C").otherwise("C + q = 1").alias("equation"), F.lit("C").alias("unknown"), F.create_map(F.lit("A"), F.col("size") * 6, F.lit("B"), F.lit(6.0), F.lit("v"), F.lit(4.0), F.lit("d"), F.col("size")).alias("known"))
+    return calculations.solve_rows(rows).select("p_partkey", F.round("result.numeric", 6).alias("root"), F.col("result.error").isNotNull().alias("failed"))
+
+
+def unit_calculation_rows(spark, sf_dir):
+    q = lambda v, u: F.struct(v.cast("double").alias("value"), F.lit(u).alias("unit"))
+    rows = _part(spark, sf_dir).select("p_partkey", F.when(F.col("p_partkey") % 4 == 0, "a + t").otherwise("a * b").alias("expression"), F.create_map(F.lit("a"), q(F.col("size"), "m"), F.lit("b"), q(F.lit(2), "km"), F.lit("t"), q(F.lit(1), "s")).alias("quantities"))
+    return calculations.calculate_units_rows(rows).select("p_partkey", F.round("result.numeric", 6).alias("value"), F.col("result.error").isNotNull().alias("failed"))
+
+
+def metadata_plain(spark, sf_dir):
+    """Values of metadata made plain: text, list, map and null."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = part.select("p_partkey", F.struct(F.col("p_name").alias("name"), F.array("p_size", F.col("p_partkey").cast("int")).alias("list"), F.create_map(F.lit("type"), F.col("p_type"), F.lit("no"), F.lit(None).cast("string")).alias("map"), F.when(F.col("p_size") > 10, F.col("p_size")).alias("size")).alias("metadata"))
+    return sanitized(rows).select("p_partkey", "metadata.*")
+
+
 _S = TEXTS + r", s AS (SELECT doc_id, unnest(list_transform(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), lambda x, i: {'pos': i - 1, 'sentence': x})) AS k FROM texts)"
 
 
@@ -171,4 +202,8 @@ QUERIES = {
     "unit_consistency": (unit_consistency, "SELECT * FROM (VALUES ('m,ft', true), ('m,kg', false), ('L/s,m³/h', true), ('m', true), ('m,furlong', false)) AS t(units, consistent)"),
     "quantity_parse": (quantity_parse, "SELECT p_partkey, CAST(p_size AS DOUBLE) AS value, CASE WHEN p_partkey % 2 = 0 THEN 'm³/h' ELSE 'mm' END AS unit, CAST(p_size AS DOUBLE) AS num, 'mm' AS unit_run FROM part"),
     "section_keys": (section_keys, "SELECT p_partkey, concat(CAST(p_size AS VARCHAR), ',', CAST(p_partkey % 12 AS VARCHAR)) AS key FROM part"),
+    "calculation_rows": (calculation_rows, "SELECT p_partkey AS q_id, 0 AS pos, 'n × 300' AS expression, CAST(p_size * 300 AS DOUBLE) AS result FROM part UNION ALL SELECT p_partkey, 2, 'sqrt(' || p_size || '^2) + 1', CAST(p_size + 1 AS DOUBLE) FROM part"),
+    "solve_rows": (solve_rows, "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN round(p_size / CAST(4 AS DOUBLE), 6) END AS root, p_partkey % 3 = 2 AS failed FROM part"),
+    "unit_calculation_rows": (unit_calculation_rows, "SELECT p_partkey, CASE WHEN p_partkey % 4 > 0 THEN CAST(p_size * 2000 AS DOUBLE) END AS value, p_partkey % 4 = 0 AS failed FROM part"),
+    "metadata_plain": (metadata_plain, """SELECT p_partkey, p_name AS name, p_size || ', ' || p_partkey AS list, concat('{"type": "', p_type, '", "no": null}') AS map, CASE WHEN p_size > 10 THEN p_size END AS size FROM part"""),
 }

@@ -94,7 +94,7 @@ def line_context(spark, sf_dir):
 # --- tables: region and nation as cells -------------------------------------------------------------------------------
 
 
-def _cells(spark, sf_dir):
+def cells(spark, sf_dir):
     """Nations (four columns, with some empty cells) in two flavors, and regions (two columns)."""
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
     region = spark.read.parquet(f"{sf_dir}/region.parquet")
@@ -118,42 +118,42 @@ body AS (SELECT table_id, flavor, CASE WHEN numeric THEN r ELSE r - 1 END AS r,
 
 
 def table_headers(spark, sf_dir):
-    return tables.headers(tables.clean_cells(_cells(spark, sf_dir))).select("table_id", F.array_join("headers", ",").alias("headers"), "has_header")
+    return tables.headers(tables.cleancells(cells(spark, sf_dir))).select("table_id", F.array_join("headers", ",").alias("headers"), "has_header")
 
 
 def table_types(spark, sf_dir):
-    return tables.table_types(tables.body(_cells(spark, sf_dir)))
+    return tables.table_types(tables.body(cells(spark, sf_dir)))
 
 
 def table_ffill(spark, sf_dir):
-    return tables.fill_merged(tables.body(_cells(spark, sf_dir))).select("table_id", F.col("r").cast("int").alias("r"), "c", "text")
+    return tables.fill_merged(tables.body(cells(spark, sf_dir))).select("table_id", F.col("r").cast("int").alias("r"), "c", "text")
 
 
 def table_dedupe(spark, sf_dir):
-    return tables.distinct_tables(_cells(spark, sf_dir)).groupBy("table_id").agg(F.count("*").alias("n_cells"))
+    return tables.distinct_tables(cells(spark, sf_dir)).groupBy("table_id").agg(F.count("*").alias("n_cells"))
 
 
 def table_lookup(spark, sf_dir):
-    return tables.lookup_value(_cells(spark, sf_dir), "^a")
+    return tables.lookup_value(cells(spark, sf_dir), "^a")
 
 
 def table_search(spark, sf_dir):
-    return tables.search(_cells(spark, sf_dir), "GROUP")
+    return tables.search(cells(spark, sf_dir), "GROUP")
 
 
 def table_process(spark, sf_dir):
-    out, _ = tables.process(_cells(spark, sf_dir))
+    out, _ = tables.process(cells(spark, sf_dir))
     return out.select("table_id", "table_type", F.col("n_rows").cast("int").alias("n_rows"), F.col("n_cols").cast("int").alias("n_cols"))
 
 
 def table_markdown(spark, sf_dir):
-    found, below = tables.process(_cells(spark, sf_dir))
+    found, below = tables.process(cells(spark, sf_dir))
     titled = found.withColumn("title", F.when(F.col("table_id") == "nation_l", "Nations")).withColumn("caption", F.when(F.col("table_id") != "region", F.concat(F.lit("As of "), "table_id")))
     return tables.markdown(titled, below).select("table_id", F.md5("markdown").alias("md5"))
 
 
 def table_concepts(spark, sf_dir):
-    return tables.concepts(_cells(spark, sf_dir)).select("table_id", F.col("rn").cast("int").alias("rn"), "concept")
+    return tables.concepts(cells(spark, sf_dir)).select("table_id", F.col("rn").cast("int").alias("rn"), "concept")
 
 
 def html_pages(spark, sf_dir):
@@ -175,6 +175,40 @@ _DEFS = r"""d AS (
  SELECT doc_id, 0 AS p, unnest(list_transform(list_zip(regexp_extract_all(text, '(?im)where\s+([A-Za-z_][\p{L}\p{N}_]*)\s+(?:is|=)\s+(?:the\s+)?([^,.\n]+)', 1), regexp_extract_all(text, '(?im)where\s+([A-Za-z_][\p{L}\p{N}_]*)\s+(?:is|=)\s+(?:the\s+)?([^,.\n]+)', 2)), lambda x, i: {'i': i, 's': x[1], 'd': x[2]})) AS m FROM texts
  UNION ALL SELECT doc_id, 2, unnest(list_transform(list_zip(regexp_extract_all(text, '(?im)let\s+([A-Za-z_][\p{L}\p{N}_]*)\s+be\s+(?:the\s+)?([^,.\n]+)', 1), regexp_extract_all(text, '(?im)let\s+([A-Za-z_][\p{L}\p{N}_]*)\s+be\s+(?:the\s+)?([^,.\n]+)', 2)), lambda x, i: {'i': i, 's': x[1], 'd': x[2]})) FROM texts),
 r AS (SELECT doc_id, m.s AS symbol, trim(m.d) AS name, row_number() OVER (PARTITION BY doc_id, m.s ORDER BY p, m.i) AS rn FROM d)"""
+FORMULA_SQL, CELLS_SQL = _F, _CELLS
+CONCEPTS_SQL = """h AS (SELECT table_id, 0 AS part, c AS pos, CASE WHEN numeric THEN 'Column_' || CAST(c AS VARCHAR) ELSE text END AS label FROM cells JOIN num USING (table_id) WHERE r = 0),
+ hu AS (SELECT * FROM h WHERE length(label) > 2 AND lower(label) NOT IN ('id', 'no', 'ref') UNION ALL SELECT table_id, 1, r, text FROM body WHERE c = 0 AND r < 10 AND length(text) > 3),
+ hd AS (SELECT table_id, label, min((part * 1000 + pos)) AS place FROM hu GROUP BY ALL), concepts_ AS (SELECT table_id, label AS concept FROM hd QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY place, label) <= 5)"""
+
+
+def formulas_by_variable(spark, sf_dir):
+    return formulas.by_variable(_formulas(spark, sf_dir)).select("doc_id", "variable", F.array_join(F.transform("formulas", lambda x: x.cast("string")), ",").alias("formulas"))
+
+
+def formula_operators(spark, sf_dir):
+    return _formulas(spark, sf_dir).select("doc_id", "formula_no", F.array_join("operators", " ").alias("operators"))
+
+
+def formula_definitions(spark, sf_dir):
+    """The defined variables of each formula."""
+    found = formulas.with_definitions(_formulas(spark, sf_dir), formulas.variable_definitions(texts(spark, sf_dir)))
+    return found.select("doc_id", "formula_no", F.array_join(F.array_sort(F.transform(F.map_entries("var_defs"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["name"]))), ";").alias("defined"))
+
+
+def table_records(spark, sf_dir):
+    found, below = tables.process(cells(spark, sf_dir))
+    return tables.to_records(found, below).select("table_id", F.size("data").alias("n"), F.element_at("data", 2)["Name"].alias("name"))
+
+
+def section_ancestors(spark, sf_dir):
+    out = sections.node_context(sections.hierarchy(_sections(spark, sf_dir)))
+    return out.select("doc_id", "number", F.array_join("ancestors", ",").alias("ancestors"))
+
+
+def section_find(spark, sf_dir):
+    return sections.find_node(sections.hierarchy(_sections(spark, sf_dir)), "1").select("doc_id", "title", "level")
+
+
 QUERIES = {
     "section_extract": (section_extract, f"WITH {SECTIONS} SELECT doc_id, seq, number, title, page_number, md5(content) AS content_md5 FROM sections_"),
     "section_levels": (section_levels, f"WITH {SECTIONS} SELECT level, count(*) AS n FROM sections_ GROUP BY level"),
@@ -220,4 +254,10 @@ QUERIES = {
         f"WITH {_CELLS}, h AS (SELECT table_id, 0 AS part, c AS pos, CASE WHEN numeric THEN 'Column_' || CAST(c AS VARCHAR) ELSE text END AS label FROM cells JOIN num USING (table_id) WHERE r = 0), u AS (SELECT * FROM h WHERE length(label) > 2 AND lower(label) NOT IN ('id', 'no', 'ref') UNION ALL SELECT table_id, 1, r, text FROM body WHERE c = 0 AND r < 10 AND length(text) > 3), d AS (SELECT table_id, label, min((part * 1000 + pos)) AS place FROM u GROUP BY ALL) SELECT table_id, CAST(row_number() OVER (PARTITION BY table_id ORDER BY place, label) AS INTEGER) AS rn, label AS concept FROM d QUALIFY rn <= 5",
     ),
     "html_pages": (html_pages, "SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS heading, CAST(length(regexp_extract_all(html, '(?i)href=[\"'']([^\"'']+)[\"'']', 1)) AS INTEGER) AS n_links FROM pages"),
+    "formulas_by_variable": (formulas_by_variable, f"WITH {_F} SELECT doc_id, variable, string_agg(CAST(formula_no AS VARCHAR), ',' ORDER BY formula_no) AS formulas FROM v GROUP BY 1, 2"),
+    "formula_operators": (formula_operators, f"WITH {_F} SELECT doc_id, formula_no, array_to_string(list_filter(['!=', '*', '+', '-', '/', '<', '<=', '=', '>', '>=', '^', '~='], lambda o: contains(normalized_text, o)), ' ') AS operators FROM f"),
+    "formula_definitions": (formula_definitions, f"WITH {_F}, {_DEFS} SELECT v.doc_id, v.formula_no, string_agg(v.variable || '=' || CASE WHEN regexp_matches(name, '\\([^)]+\\)$') THEN trim(regexp_replace(name, '\\s*\\([^)]+\\)$', '')) ELSE name END, ';' ORDER BY v.variable) AS defined FROM v JOIN r ON r.doc_id = v.doc_id AND r.symbol = v.variable AND rn = 1 GROUP BY 1, 2"),
+    "table_records": (table_records, f"WITH {_CELLS} SELECT table_id, CAST(max(r) + 1 AS INTEGER) AS n, max(text) FILTER (r = 1 AND c = 1 AND table_id <> 'region') AS name FROM body GROUP BY 1"),
+    "section_ancestors": (section_ancestors, f"WITH {SECTIONS} SELECT k.doc_id, k.number, coalesce((SELECT string_agg(p.number, ',' ORDER BY length(p.number)) FROM known p WHERE p.doc_id = k.doc_id AND starts_with(k.number, p.number || '.')), '') AS ancestors FROM known k"),
+    "section_find": (section_find, f"WITH {SECTIONS} SELECT doc_id, title, level FROM known WHERE number = '1'"),
 }
