@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences: five stages, each on all rows that the one before kept."""
+"""From raw documents to packed training sequences: five stages, each on all rows that the one before kept.
+
+Defined cases: a null or empty text has no language and goes in the first stage; alone, the other stages take null as empty
+(line dedup and personal data return it as the empty text); rows that repeat doc_id and text are one document for near copies and two
+for the other stages; a null doc_id is kept; texts may be of any length; an empty table gives an empty result. All stages but the last return the columns
+of their input, whatever other columns there are.
+"""
 
 from __future__ import annotations
 
