@@ -219,7 +219,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", *, penalty:
     """The input's rows and columns plus ``lang_pred`` and ``lang_score``, which replace columns with those names."""
     docs = docs.drop("lang_pred", "lang_score")
     shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names with a dot are no names for mapInArrow
     schema = docs.withColumn("lang_pred", F.lit("")).withColumn("lang_score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +231,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", *, penalty:
                 got = tagger.tag(part.column(at).to_pylist(), penalty)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*part.schema.names, "lang_pred", "lang_score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names, "lang_pred", "lang_score")
 
 
 def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *, penalty: float = 6.0) -> DataFrame:

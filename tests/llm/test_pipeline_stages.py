@@ -92,3 +92,22 @@ def test_ring_is_a_consequence_of_the_budget(spark):
     df = spark.createDataFrame(rows, "a int, b int, c int, d int").withColumn("fine", simhash.in_ring([F.col(c) for c in "abcd"], 72))
     got = df.collect()
     assert all(r.fine == (r.a + r.b + r.c + r.d <= 72) for r in got) and {r.fine for r in got} == {True, False}
+
+
+def test_stages_on_odd_rows(spark):
+    en = "the house and the street are with this and that"
+    line = "This shared line is certainly more than forty code points long."
+    clash = "doc_id long, text string, lang string, source string, n_chars long, id long, h string, `a.b` int, lang_pred string, pii string"
+    more = (5, "h", 1, "x", "p")
+    rows = [(i, f"{line}\n{en} {i} mail a@b.co", "en", "s", 1, *more) for i in range(1, 8)]
+    rows += [(8, None, None, None, None, *more), (9, "", "en", "s", 0, *more), (3, rows[2][1], "en", "s", 1, *more), (None, en, "en", "s", 1, *more), (10, f"{en} " * 20_000, "en", "s", 1, *more)]
+    df = docs(spark, rows, clash)
+    run = lambda stage, of=df: stage(spark, of, "")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert run(stage).columns == df.columns and run(stage, df.where("false")).count() == 0
+    assert sorted(r.doc_id or 0 for r in run(corpus_pipeline.language).collect()) == [0, 1, 2, 3, 3, 4, 5, 6, 7, 10]
+    lines = {r.doc_id: r for r in run(corpus_pipeline.lines).collect()}
+    assert line in lines[7].text and line not in lines[3].text and lines[8].text == "" and lines[7].n_chars == len(lines[7].text)
+    assert {r.text.count("[EMAIL]") for r in run(corpus_pipeline.personal_data).where("doc_id < 8").collect()} == {1}
+    packed = run(corpus_pipeline.pack).collect()
+    assert {r.doc_id for r in packed} == {*range(1, 11), None} and max(r.offset + r.length for r in packed) <= 1024
