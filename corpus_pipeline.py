@@ -20,15 +20,16 @@ LEAST_LANGUAGE_SHARE = 0.34
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language; fills in missing values of lang."""
-    out = langid.identify(docs, langid.fitted(docs))
+    own, back = _aside(docs, "lang_pred", "lang_score")
+    out = langid.identify(own, langid.fitted(own))
     out = out.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SHARE))
-    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return _back(out.withColumn("lang", F.coalesce("lang", "lang_pred")), docs, back)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that five or more documents share, but for one of them."""
-    out = line_dedup.dedup_lines(docs)
-    return _with_text(out, docs, F.col("line_dedup.text"))
+    own, back = _aside(docs, "line_dedup")
+    return _with_text(line_dedup.dedup_lines(own), docs, F.col("line_dedup.text"), back)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +43,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = stay.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("row_key").alias("__key"))
     # repeated rows are combined before texts move, so none of them makes a hot key; the join needs no other shuffle of texts
     once = docs.withColumns(mark).dropDuplicates(list(mark))
-    return once.join(stay.hint("merge"), list(mark), "left_semi").select(*docs.columns)
+    return once.join(stay.hint("merge"), list(mark), "left_semi").drop(*mark)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in brackets."""
-    out = pii.detect(docs)
-    return _with_text(out, docs, pii.masked(F.coalesce("text", F.lit("")), F.col("pii_spans")))
+    own, back = _aside(docs, "pii", "pii_spans")
+    return _with_text(pii.detect(own), docs, pii.masked(F.coalesce("text", F.lit("")), F.col("pii_spans")), back)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,12 +57,23 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer=packing.default_tokenizer())
 
 
-def _with_text(out: DataFrame, docs: DataFrame, text) -> DataFrame:
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the columns that an operator would replace under other names, and the way back."""
+    back = {f"__own_{c}": c for c in names if c in docs.columns}
+    return docs.withColumnsRenamed({v: k for k, v in back.items()}), back
+
+
+def _back(out: DataFrame, docs: DataFrame, back: dict[str, str]) -> DataFrame:
+    """The columns of docs."""
+    return out.drop(*back.values()).withColumnsRenamed(back).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _with_text(out: DataFrame, docs: DataFrame, text, back: dict[str, str]) -> DataFrame:
     """The columns of docs with the new text and its length."""
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return _back(out, docs, back)
 
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("simhash_near_dedup", near_copies), ("pii", personal_data), ("best_fit_packing", pack)]
