@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, text_or_empty
+from .common import read, resident, text_or_empty
 
 
 class Codec:
@@ -156,13 +156,9 @@ class Codec:
         return ",".join(ids), b"".join(back)
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    """One codec for each file, pattern and worker process, so that its words last from task to task."""
+    return resident(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ranks: str, pattern: str) -> DataFrame:

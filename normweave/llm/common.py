@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from typing import ClassVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,7 +131,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-
 #: Elements of a block: a list that grows in a fold is copied at each step, so it grows within a block, and then by blocks.
 BLOCK = 128
 
@@ -188,3 +188,19 @@ def spliced(text: Column, pieces: Column) -> Column:
 def row_key(text: Column) -> Column:
     """Tells rows with the same id apart: 64 bits of the text (null as empty)."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+_resident: dict[tuple, object] = {}
+
+
+def resident(key: tuple | None, build: Callable[[], object] = lambda: None) -> object:
+    """What ``build`` makes, kept in a worker process from task to task, one object at a time.
+
+    Workers outlive a stage, so a model with its words would stay beside the next stage's: that of another key goes first.
+    A stage without a model asks for None.
+    """
+    if key not in _resident:
+        _resident.clear()
+        pa.default_memory_pool().release_unused()
+        _resident[key] = build()
+    return _resident[key]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, resident
 
 #: Starts of Unicode ranges by script; a letter belongs to the last start at or before it.
 SCRIPTS = [(0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0900, "Devanagari"), (0x0980, "Indic"), (0x0E00, "Thai"), (0x0E80, "Asian"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x2C60, "Latin"), (0x2C80, "Other"), (0x3040, "Kana"), (0x3100, "Han"), (0x3130, "Hangul"), (0x31A0, "Han"), (0xA000, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFF00, "Latin"), (0xFF66, "Kana"), (0x10000, "Other"), (0x20000, "Han")]
@@ -254,16 +254,10 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id long, lang string, start int, end int").withColumnRenamed("id", id_col)
 
 
-_taggers: dict[str, Tagger] = {}
-
-
 def _tagger(shared: tuple) -> Tagger:
     """One tagger for each model and worker process, so that its words last from task to task."""
     name, model = shared
-    if name not in _taggers:
-        _taggers.clear()
-        _taggers[name] = Tagger(model.value)
-    return _taggers[name]
+    return resident(("tagger", name), lambda: Tagger(model.value))
 
 
 def held_out(id_col: str, parts: int, part: int):

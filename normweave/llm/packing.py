@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, read, text_or_empty
+from .common import Scratch, read, resident, text_or_empty
 
 CAPACITY, END = 1024, 2
 
@@ -178,49 +178,49 @@ class Words(dict):
         return out
 
 
-_encoders: dict[str, tuple] = {}
-
-
-def encoder(path: str):
+def _encoder(path: str):
     """text -> ids as little-endian 32-bit bytes, for a byte-level BPE tokenizers file.
 
     The whole library runs on texts that hold a special token or two white-space characters in a row.  Elsewhere a
     pre-token always begins at a space and at a line's end and start, so the ids of a text are those of its words in turn; each word is encoded
     once, by the same vocabulary and merges.
     """
-    if path not in _encoders:
-        import re
-
-        import public_tokenizers
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
-        specials = [x["content"] for x in told.get("added_tokens", [])]
-        # the file writes bytes as printable characters: the printable Latin-1 ones stand for themselves, the others for 256 on
-        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        ranks = {bytes(byte[c] for c in t): i for t, i in told["model"]["vocab"].items() if t not in specials}
-        encode = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        words, starts = Words(encode, " "), Words(encode, "")
-        newline = starts["\n"]
-        odd = re.compile("|".join([r"\s\s", "[\x1c-\x1f\x85]", *map(re.escape, specials)]))
-
-        def ids(text: str) -> bytes:
-            if odd.search(text):
-                return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            out = []
-            for line in text.split("\n"):
-                first, *rest = line.split(" ")
-                out.append(starts[first])
-                out += map(words.__getitem__, rest)
-                out.append(newline)
-            return b"".join(out[:-1])
-
-        _encoders[path] = (ids,)
-    return _encoders[path][0]
+    import re
+
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    specials = [x["content"] for x in told.get("added_tokens", [])]
+    # the file writes bytes as printable characters: the printable Latin-1 ones stand for themselves, the others for 256 on
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    ranks = {bytes(byte[c] for c in t): i for t, i in told["model"]["vocab"].items() if t not in specials}
+    encode = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    words, starts = Words(encode, " "), Words(encode, "")
+    newline = starts["\n"]
+    odd = re.compile("|".join([r"\s\s", "[\x1c-\x1f\x85]", *map(re.escape, specials)]))
+
+    def ids(text: str) -> bytes:
+        if odd.search(text):
+            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        out = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(starts[first])
+            out += map(words.__getitem__, rest)
+            out.append(newline)
+        return b"".join(out[:-1])
+
+    return ids
+
+
+def encoder(path: str):
+    """One encoder for each file and worker process, so that its words last from task to task."""
+    return resident(("encoder", path), lambda: _encoder(path))
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, *, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read, row_key, text_or_empty
+from .common import Scratch, read, resident, row_key, text_or_empty
 from .components import components
 
 SEGMENTS, WIDTH, BITS = 4, 16, 3
@@ -79,6 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     """(id, fp)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(None)  # no model of an earlier stage stays
         for b in batches:
             fps = [_signed(fingerprint(hashes(shingles(t.as_py(), words)))) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
@@ -252,6 +253,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
     schema = f"id long, key long, size long, digest long, {', '.join(f'{w} long' for w in _WORDS)}, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(None)  # no model of an earlier stage stays
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
@@ -270,6 +272,7 @@ def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """(v, text) to (v, h): the sorted 64-bit hashes of the distinct shingles, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(None)  # no model of an earlier stage stays
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
@@ -296,6 +299,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     """The pairs (a, b) whose whole shingle sets are similar.  Each set of a comes to the set of its anchor b once for each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(None)  # no model of an earlier stage stays
         for batch in batches:
             a, b = [], []
             for x, y, s, t in zip(*(batch.column(i) for i in range(4))):
