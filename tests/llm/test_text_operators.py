@@ -3,6 +3,7 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +249,65 @@ def test_near_copies_of_an_original_that_is_not_the_smallest(spark, copies):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("n", [1, 16, 255, 256, 5000])
+def test_wide_fingerprint_is_a_plain_count(n):
+    h = np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64)
+    counts = [0] * (64 * simhash.WIDE)
+    for w, salt in enumerate(simhash._WIDE_SALTS):
+        x = h + salt
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        for bit in range(64):
+            counts[64 * w + bit] = int(((x >> np.uint64(bit)) & np.uint64(1)).sum())
+    want = [sum((2 * counts[64 * w + bit] > n) << bit for bit in range(64)) for w in range(simhash.WIDE)]
+    assert simhash.wide_fingerprint(h).tolist() == want
+
+
+@pytest.mark.parametrize("n", [18, 25, 45, 180, 900])
+def test_wide_fingerprint_keeps_links_within_its_budget(n):
+    """Sets of a similarity of just 0.8 or more: one in the other, or of equal size."""
+    rng = np.random.default_rng(n)
+    for _ in range(20):
+        a = rng.integers(0, 2**64, n, dtype=np.uint64)
+        both = -(-8 * n // 9)
+        for b in (a[: -(-4 * n // 5)], np.concatenate([a[:both], rng.integers(0, 2**64, n - both, dtype=np.uint64)])):
+            assert np.bitwise_count(simhash.wide_fingerprint(a) ^ simhash.wide_fingerprint(b)).sum() <= simhash.WIDE_FAR
+
+
+def test_near_copies_of_a_group_not_all_alike_sends_few_candidates(spark, monkeypatch):
+    """Copies of one text of which most are below 0.8 to each other: same components as all pairs, far fewer candidates."""
+    rng, counted, verified = random.Random(9), [], simhash._verified
+    base, texts = [f"w{rng.randrange(5000)}" for _ in range(200)], []
+    for _ in range(500):
+        out = list(base)
+        for k in rng.sample(range(200), rng.choice([2, 4, 5, 6, 7])):
+            out[k] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(out))
+    sets, par = [{tuple(t.split()[k : k + 5]) for k in range(196)} for t in texts], list(range(500))
+
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    for i in range(500):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                par[max(a, b)] = min(a, b)
+
+    def counting(pairs, sets, similarity):
+        counted.append(pairs.count())
+        return verified(pairs, sets, similarity)
+
+    monkeypatch.setattr(simhash, "_verified", counting)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: find(i) for i in range(500)}
+    assert len(counted) > 1 and sum(counted) < 0.2 * 500 * 499 / 2
+
+
 def test_pipeline_keeps_one_blank_document(spark):
     rows = [(4, ""), (2, None), (3, " \n"), (5, "one text"), (6, "another text"), (7, "one text"), (None, "")]
     kept = [r.doc_id for r in corpus_pipeline.near_copies(spark, docs(spark, rows), "").collect()]
