@@ -118,7 +118,7 @@ body AS (SELECT table_id, flavor, CASE WHEN numeric THEN r ELSE r - 1 END AS r,
 
 
 def table_headers(spark, sf_dir):
-    return tables.headers(tables.cleancells(cells(spark, sf_dir))).select("table_id", F.array_join("headers", ",").alias("headers"), "has_header")
+    return tables.headers(tables.clean_cells(cells(spark, sf_dir))).select("table_id", F.array_join("headers", ",").alias("headers"), "has_header")
 
 
 def table_types(spark, sf_dir):
