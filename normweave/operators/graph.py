@@ -6,6 +6,7 @@ A directed multigraph: parallel edges stay, ``edge_seq`` gives their order.  Loo
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,17 +14,33 @@ from pyspark.sql import functions as F
 from ..functions.text import slug
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder; one of our own only where the session names none."""
-    spark = df.sparkSession
+def _folder(spark) -> str:
+    """The session's checkpoint folder, set where it is not yet; one of our own only where the session names none."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
         if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="normweave-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the shared folder."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df, written once as Parquet to the shared folder, for tables that many plans read: each would hold the
+    whole plan of df otherwise, and compute it.  The files go with the application."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/stored-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def upsert_nodes(nodes: DataFrame) -> DataFrame:
     """One row for each node_id of (node_seq, node_id, ...): the last one."""
     cols = [c for c in nodes.columns if c not in ("node_id", "node_seq")]

@@ -148,3 +148,16 @@ def test_streams(spark, tmp_path):
     q = s.once(s.document_stream(spark, f"{tmp_path}/in")).writeStream.format("memory").queryName("got").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("got").count() == 2
+
+
+def test_ingestion_reads_its_pages_once(spark, tmp_path):
+    from normweave.plans.ingest import ingest
+
+    pages(spark, "1 One\nq = n × 2\nt = q × 2\nsee 1.1\n1.1 Two\nq = 6 × n").write.parquet(f"{tmp_path}/pages")
+    cells = spark.createDataFrame([(1, 1, "t", "lattice", r, c, f"word {r} {c}") for r in range(3) for c in range(2)], "doc_id long, page_number int, table_id string, flavor string, r int, c int, text string")
+    got = ingest(spark.read.parquet(f"{tmp_path}/pages"), cells)
+    # the graph is made of tables already written: its plan holds neither the pages nor a copy of their derivation for each branch
+    assert not [f for f in got.edges.inputFiles() if f"{tmp_path}/pages" in f]
+    assert got.edges._jdf.queryExecution().executedPlan().toString().count("Exchange") < 60
+    assert {(r.src, r.dst) for r in got.edges.where("edge_type = 'references'").collect()} == {("section_1_1", "section_1_1.1")}
+    assert got.formulas.count() == got.nodes.where("node_type = 'formula'").count() > 2
