@@ -144,6 +144,24 @@ def test_quality(spark):
     assert quality.score(df.where("false"), model).count() == 0
 
 
+def test_quality_fit_takes_all_rows_and_pairs(spark):
+    rng = np.random.default_rng(4)
+    y = (rng.random(14_000) < 0.9).astype(int)
+    x = rng.normal(size=(len(y), quality.FEATURES)) + 0.3 * y[:, None] * (np.arange(quality.FEATURES) % 3)
+    x[0] = 40.0  # a strength far from the others
+    found = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "doc_id long, features array<double>")
+    labels = spark.createDataFrame(list(enumerate(y.tolist())), "doc_id long, quality int")
+    scratch = Scratch(spark, "test")
+    model = quality.fit_features(found, labels, scratch=scratch)
+    scratch.clear()
+    # the gradient over every pair, pair by pair, is that of the ridge alone
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    miss = 1 / (1 + np.exp(z[y == 1] @ model.weights[:, None] - (z[y == 0] @ model.weights)[None]))
+    pull = (miss.sum(1) @ z[y == 1] - miss.sum(0) @ z[y == 0]) / miss.size
+    assert np.abs(pull - 1e-3 * model.weights).max() < 1e-7 and np.abs(model.weights).max() > 0.1
+    assert model.threshold == pytest.approx(np.quantile(model.strengths(x), (y == 0).mean()), abs=1e-9)
+
+
 def brute_topk(rows, k=5, every=50):
     width = max(len(v) for _, v in rows)
     good = [(i, np.pad(np.floor(256 * np.array(v, np.float32).astype(float)), (0, width - len(v))).astype(int)) for i, v in rows]
